@@ -13,13 +13,15 @@ no text is cut; all columns of the input are kept, and a column with the name of
 from __future__ import annotations
 
 import base64
-from heapq import heapify, heappop, heappush
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from strandlake.llm.common import append_columns
 
+#: Documents whose pieces are replayed together.
+SLICE = 2048
 #: Pieces whose ids a task keeps at most.
 PIECES_KEPT = 300_000
 #: Token pairs whose ranks a task keeps at most.
@@ -46,81 +48,112 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
 
 
+class Layout:
+    """All pieces of a replay as one chain of tokens, and the inverted index from pairs to places.
+
+    A pair is known by the rank of the token that it makes; ``pair[i]`` is that of the pair that starts
+    at place i, or -1. Places are bytes of the joined pieces; those merged away have no token.
+    """
+
+    def __init__(self, pieces: list[bytes], byte_ids: np.ndarray, ranks_of):
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        n, ends = int(length.sum()), np.cumsum(length)
+        self.starts, self.ranks_of = ends - length, ranks_of
+        self.symbol = byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
+        self.after, self.before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        self.after[ends - 1] = self.before[self.starts] = -1
+        self.pair = np.full(n, -1)
+        self.index: dict[int, list[np.ndarray]] = {}
+        self.heap: list[int] = []
+        self.look_up(np.flatnonzero(self.after >= 0))
+
+    def look_up(self, places: np.ndarray) -> None:
+        """Find the pairs that start at these places anew, and index them."""
+        ranks = self.ranks_of(self.symbol[places] << 20 | self.symbol[self.after[places]])
+        self.pair[places] = ranks
+        places, ranks = places[ranks >= 0], ranks[ranks >= 0]
+        order = np.argsort(ranks, kind="stable")
+        places, ranks = places[order], ranks[order]
+        first = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])) if len(ranks) else []
+        bounds = [*first, len(ranks)]
+        for k, at in enumerate(first):
+            rank = int(ranks[at])
+            if rank not in self.index:
+                self.index[rank] = []
+                heappush(self.heap, rank)
+            self.index[rank].append(places[at : bounds[k + 1]])
+
+    def merge(self, rank: int, at: np.ndarray) -> None:
+        """Merge the pairs that start at these places, none of which overlap."""
+        gone = self.after[at]
+        right = self.after[gone]
+        self.symbol[at], self.symbol[gone], self.after[at] = rank, -1, right
+        self.pair[at] = self.pair[gone] = -1
+        has = right >= 0
+        self.before[right[has]] = at[has]
+        left = self.before[at]
+        self.look_up(np.unique(np.concatenate([at[has], left[left >= 0]])))
+
+    def in_turn(self, rank: int, at: np.ndarray) -> bool:
+        """Whether the order of these merges matters: they overlap, or make a pair that comes before them."""
+        gone = self.after[at]
+        if (gone[:-1] == at[1:]).any():
+            return True
+        right, left = self.after[gone], self.before[at]
+        right, left = right[right >= 0], left[left >= 0]
+        ranks = self.ranks_of(np.concatenate([rank << 20 | self.symbol[right], self.symbol[left] << 20 | rank]))
+        return bool(((ranks >= 0) & (ranks < rank)).any())
+
+    def run(self) -> list[list[int]]:
+        while self.heap:
+            rank = heappop(self.heap)
+            parts = self.index.pop(rank)
+            at = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            at = at[self.pair[at] == rank]
+            if not len(at):
+                continue
+            if not self.in_turn(rank, at):
+                self.merge(rank, at)
+                continue
+            for k in range(len(at)):
+                if self.pair[at[k]] == rank:
+                    self.merge(rank, at[k : k + 1])
+                    if self.heap and self.heap[0] < rank:  # a new pair that comes first: the other places wait
+                        if rank not in self.index:
+                            self.index[rank] = []
+                            heappush(self.heap, rank)
+                        self.index[rank].append(at[k + 1 :])
+                        break
+        left = np.flatnonzero(self.symbol >= 0)
+        return np.split(self.symbol[left], np.searchsorted(left, self.starts[1:]))
+
+
 class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.byte = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pairs: dict[int, int] = {}
         self.ids: dict[str, bytes] = {}
 
-    def merged(self, a: int, b: int) -> int:
-        """Rank of the token that a and b make, or -1."""
-        rank = self.pairs.get((a, b))
+    def made(self, key: int) -> int:
+        """Rank of the token that the pair of a key makes, or -1; the key is the first id * 2**20 + the second."""
+        rank = self.pairs.get(key)
         if rank is None:
             if len(self.pairs) >= PAIRS_KEPT:
                 self.pairs.clear()
-            rank = self.pairs[a, b] = self.ranks.get(self.token[a] + self.token[b], -1)
+            rank = self.pairs[key] = self.ranks.get(self.token[key >> 20] + self.token[key & 0xFFFFF], -1)
         return rank
 
-    def replay(self, pieces: list[bytes]) -> list[list[int]]:
+    def ranks_of(self, keys: np.ndarray) -> np.ndarray:
+        if len(keys) < 8:
+            return np.fromiter(map(self.made, keys.tolist()), np.int64, len(keys))
+        distinct, where = np.unique(keys, return_inverse=True)
+        return np.fromiter(map(self.made, distinct.tolist()), np.int64, len(distinct))[where]
+
+    def replay(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece, after all merges in rank order over all pieces at once."""
-        symbol: list[int] = []
-        before: list[int] = []
-        after: list[int] = []
-        starts: list[int] = []
-        index: dict[int, list[int]] = {}
-        merged, byte = self.merged, self.byte
-        for piece in pieces:
-            first, last = len(symbol), len(symbol) + len(piece) - 1
-            starts.append(first)
-            symbol += [byte[b] for b in piece]
-            before += [-1, *range(first, last)]
-            after += [*range(first + 1, last + 1), -1]
-            for at in range(first, last):
-                if (rank := merged(symbol[at], symbol[at + 1])) >= 0:
-                    index.setdefault(rank, []).append(at)
-        heap = list(index)
-        heapify(heap)
-        while heap:
-            rank = heappop(heap)
-            places = index.pop(rank, None)
-            if places is None:
-                continue
-            places.sort()
-            for k, at in enumerate(places):
-                gone = after[at]
-                if symbol[at] < 0 or gone < 0 or merged(symbol[at], symbol[gone]) != rank:
-                    continue
-                right, left = after[gone], before[at]
-                symbol[at], symbol[gone], after[at] = rank, -1, right
-                lower = False
-                if right >= 0:
-                    before[right] = at
-                    if (new := merged(rank, symbol[right])) >= 0:
-                        if new not in index:
-                            index[new] = []
-                            heappush(heap, new)
-                        index[new].append(at)
-                        lower = new < rank
-                if left >= 0 and (new := merged(symbol[left], rank)) >= 0:
-                    if new not in index:
-                        index[new] = []
-                        heappush(heap, new)
-                    index[new].append(left)
-                    lower = lower or new < rank
-                if lower:  # a new pair that comes first: the other places wait
-                    index.setdefault(rank, []).extend(places[k + 1 :])
-                    heappush(heap, rank)
-                    break
-        out = []
-        for at in starts:
-            ids = []
-            while at >= 0:
-                ids.append(symbol[at])
-                at = after[at]
-            out.append(ids)
-        return out
+        return Layout(pieces, self.byte, self.ranks_of).run() if pieces else []
 
     def learn(self, pieces: set[str]) -> None:
         new = [p for p in pieces if p not in self.ids]
@@ -136,7 +169,7 @@ class MergeReplay:
             else:
                 self.ids[p] = rank.to_bytes(4, "little")
         for p, ids in zip(whole, self.replay(parts), strict=True):
-            self.ids[p] = np.array(ids, "<u4").tobytes()
+            self.ids[p] = ids.astype("<u4").tobytes()
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -160,7 +193,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
 
         return work
 
-    return append_columns(docs, [text], [("n_tokens", "bigint"), ("token_ids", "binary")], start)
+    return append_columns(docs, [text], [("n_tokens", "bigint"), ("token_ids", "binary")], start, rows=SLICE)
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
