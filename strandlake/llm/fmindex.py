@@ -85,21 +85,24 @@ class Phrases:
         return np.append(kept, 0), np.append(places, n)
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """By prefix doubling; the shorter of two suffixes comes first where one begins the other."""
+def suffix_array(text: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and each one's rank, by prefix doubling; of two suffixes the one that the other begins with comes first.
+
+    With a depth, suffixes that agree in that many symbols or more may share a rank.
+    """
     n = len(text)
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(rank, kind="stable")
     step = 1
-    while True:
+    while rank[order[-1]] < n - 1 and (depth is None or step < depth):
         second = np.zeros(n, np.int64)
         second[: n - step] = rank[step:] + 1
         key = rank * (n + 1) + second
         order = np.argsort(key, kind="stable")
         in_order = key[order]
         rank[order] = np.concatenate([[0], np.cumsum(in_order[1:] != in_order[:-1])])
-        if n < 2 or rank[order[-1]] == n - 1:
-            return order
         step *= 2
+    return order, rank
 
 
 class WaveletTree:
@@ -136,7 +139,7 @@ class WaveletTree:
 class FMIndex:
     def __init__(self, text: np.ndarray, sigma: int):
         """Index a sequence that has a 0 at its end only, so that steps back are well defined."""
-        sa = suffix_array(text)
+        sa, _ = suffix_array(text)
         self.tree = WaveletTree(text[sa - 1], sigma)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.n = len(text)

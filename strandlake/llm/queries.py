@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, fmindex, licences, lines, quality, toxicity
+from strandlake.llm import bpe, fmindex, html, licences, lines, quality, toxicity
 from strandlake.llm.common import read
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -47,5 +47,9 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id"), 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op6_decontamination, op7_line_dedup, op8_toxicity, op9_licence_scan)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op6_decontamination, op7_line_dedup, op8_toxicity, op9_licence_scan, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
