@@ -21,9 +21,11 @@ from pyspark.sql import DataFrame
 from strandlake.llm.common import append_columns
 
 #: Documents whose pieces are replayed together.
-SLICE = 2048
+SLICE = 1024
 #: Pieces whose ids a task keeps at most.
-PIECES_KEPT = 300_000
+PIECES_KEPT = 200_000
+#: Pieces that are replayed at once, at most.
+REPLAYED = 32_768
 #: Token pairs whose ranks a task keeps at most.
 PAIRS_KEPT = 500_000
 #: \s of the split pattern is the property White_Space.
@@ -168,8 +170,9 @@ class MergeReplay:
                 parts.append(b)
             else:
                 self.ids[p] = rank.to_bytes(4, "little")
-        for p, ids in zip(whole, self.replay(parts), strict=True):
-            self.ids[p] = ids.astype("<u4").tobytes()
+        for at in range(0, len(parts), REPLAYED):
+            for p, ids in zip(whole[at : at + REPLAYED], self.replay(parts[at : at + REPLAYED]), strict=True):
+                self.ids[p] = ids.astype("<u4").tobytes()
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
