@@ -84,3 +84,14 @@ def append_columns(
             yield pa.RecordBatch.from_arrays(arrays, names=kept + names)
 
     return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir`` and read again."""
+    import uuid
+
+    spark = df.sparkSession
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
+    path = f"{folder}/strandlake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

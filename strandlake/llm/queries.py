@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, fmindex, html, licences, lines, pii, quality, toxicity
+from strandlake.llm import bpe, fmindex, html, licences, lines, lm, pii, quality, toxicity
 from strandlake.llm.common import read
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,13 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.held_out(F.col("doc_id"), 1)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm.score(docs, docs.where(F.coalesce(~out, F.lit(True))))
+    return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_spans")
@@ -56,5 +63,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op5_pii, op6_decontamination, op7_line_dedup, op8_toxicity, op9_licence_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_lm_scoring, op5_pii, op6_decontamination, op7_line_dedup, op8_toxicity, op9_licence_scan, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
