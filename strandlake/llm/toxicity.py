@@ -28,15 +28,15 @@ from strandlake.llm.common import append_columns
 #: Punctuation ends a word; ASCII capitals become small letters.
 FOLD = bytes(32 if chr(b) in "!\"#$%&()*+,./:;<=>?@[\\]^_`{|}~" or b < 32 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Words whose slots a task keeps at most.
-WORDS_KEPT = 150_000
+WORDS_KEPT = 300_000
 
 
 @dataclass(frozen=True)
 class Limits:
     """The bounds of the training sample: documents that are confirmed toxic, and unlabelled ones."""
 
-    positive: int = 6_000
-    unlabelled: int = 14_000
+    positive: int = 4_000
+    unlabelled: int = 8_000
     bits: int = 18
     min_documents: int = 8
     steps: int = 300
@@ -50,26 +50,28 @@ def held_out(doc_id: Column, remainder: int, modulus: int = 5) -> Column:
 
 def word_slots(word: bytes, bits: int) -> tuple[int, ...]:
     """Slots of the word, of its beginnings of four to six bytes, and of its last five."""
-    parts = {b"=" + word}
+    parts = [b"=" + word]
     if len(word) > 5:
-        parts |= {b"^" + word[:4], b"^" + word[:5], b"^" + word[:6], b"$" + word[-5:]}
-    return tuple(zlib.crc32(p) >> (32 - bits) for p in sorted(parts))
+        parts += [b"^" + word[:4], b"^" + word[:5], b"^" + word[:6], b"$" + word[-5:]]
+    return tuple(zlib.crc32(p) >> (32 - bits) for p in parts)
 
 
 class Slots:
-    """The slots of texts; those of a bounded number of words are kept."""
+    """The slots of texts, or the wanted ones of them; those of a bounded number of words are kept."""
 
-    def __init__(self, bits: int):
+    def __init__(self, bits: int, wanted: np.ndarray | None = None):
         self.bits = bits
+        self.wanted = None if wanted is None else set(np.flatnonzero(wanted).tolist())
         self.known: dict[bytes, tuple[int, ...]] = {}
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         words = set((text or b"").translate(FOLD).split())
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
-        for w in words - self.known.keys():
-            self.known[w] = word_slots(w, self.bits)
-        found = set().union(*map(self.known.__getitem__, words))
+        for w in [w for w in words if w not in self.known]:
+            slots = word_slots(w, self.bits)
+            self.known[w] = slots if self.wanted is None else tuple(x for x in slots if x in self.wanted)
+        found = set().union(*filter(None, map(self.known.__getitem__, words)))
         return np.sort(np.fromiter(found, np.int32, len(found)))
 
 
@@ -80,7 +82,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         p = min(max(prior, 1e-6), 1 - 1e-6)
         return np.zeros(size, np.float32), float(np.log(p / (1 - p)))
     rows = positive + unlabelled
-    flat = np.concatenate(rows).astype(np.int64)
+    flat = np.concatenate(rows)
     n_p, n_u = len(positive), len(unlabelled)
     split = sum(map(len, positive))
     seen_p, seen_u = np.bincount(flat[:split], minlength=size), np.bincount(flat[split:], minlength=size)
@@ -88,15 +90,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / n_p + 1 / n_u))
     z = (seen_p / n_p - seen_u / n_u) / spread
     known = np.flatnonzero((seen_p + seen_u >= limits.min_documents) & (np.abs(z) >= limits.min_z))
-    where = np.full(size, -1, np.int64)
+    where = np.full(size, -1, np.int32)
     where[known] = np.arange(len(known))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = where[flat]
-    owner, column = owner[column >= 0], column[column >= 0]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])[column >= 0]
+    column = column[column >= 0]
+    del rows, flat
     w, bias = np.zeros(len(known)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, limits.steps + 1):
-        g = np.bincount(owner, w[column], len(rows)) + bias
+        g = np.bincount(owner, w[column], n_p + n_u) + bias
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
         # l(-g) has the slope s, l(g) the slope s - 1
         negative = np.logaddexp(0, g[n_p:]).mean() - prior * np.logaddexp(0, g[:n_p]).mean()
@@ -142,7 +145,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], limits: Limits = Lim
     bits = limits.bits
 
     def start():
-        slots = Slots(bits)
+        slots = Slots(bits, weights != 0)
 
         def work(columns):
             g = [min(max(float(weights[slots(t)].sum(dtype=np.float64)) + bias, -30.0), 30.0) for t in columns[0]]
