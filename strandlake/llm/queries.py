@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, fmindex, html, licences, lines, lm, pii, quality, toxicity
+from strandlake.llm import bpe, fmindex, html, licences, lines, lm, ngram_join, pii, quality, toxicity
 from strandlake.llm.common import read
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -26,6 +26,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(read(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.held_out(F.col("doc_id"), 1)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,5 +67,5 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_lm_scoring, op5_pii, op6_decontamination, op7_line_dedup, op8_toxicity, op9_licence_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_ngram_join, op4_lm_scoring, op5_pii, op6_decontamination, op7_line_dedup, op8_toxicity, op9_licence_scan, op10_html_extraction)}
 ORACLES: dict[str, str] = {}
