@@ -27,13 +27,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandlake.functions.memo import memo
 from strandlake.llm.common import append_columns, as_bytes, bounded_batches, materialize, sliced
 from strandlake.llm.components import components
 
@@ -64,7 +64,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-@lru_cache(maxsize=None)
+@memo(4096)
 def allocation(number: int, low: int, high: int, percent: int) -> Scheme | None:
     """The cheapest mix of segments for sets of ``low`` to ``high`` - 1 elements; None if linked sets are equal."""
     most = (100 - percent) * (high - 1) // percent
@@ -84,7 +84,7 @@ def allocation(number: int, low: int, high: int, percent: int) -> Scheme | None:
     return best[1]
 
 
-@lru_cache(maxsize=None)
+@memo(4096)
 def band(number: int, percent: int) -> tuple[int, int]:
     if number == 0:
         return 1, 100 // percent + 1
@@ -92,7 +92,7 @@ def band(number: int, percent: int) -> tuple[int, int]:
     return low, low * 100 // percent + 1
 
 
-@lru_cache(maxsize=4096)
+@memo(4096)
 def schemes(size: int, percent: int) -> tuple[Scheme, ...]:
     """Of a set's own band, and of the one below."""
     k = 0
