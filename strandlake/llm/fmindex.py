@@ -246,7 +246,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         for scan in scans[1:]:
             every = every.unionByName(scan)
         merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = docs.join(merged, "doc_id")
+        found = docs.drop("n_words", "spans", "items").join(merged, "doc_id")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
