@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandlake.llm import bpe, fmindex, html, licences, lines, lm, ngram_join, pii, quality, toxicity
+from strandlake.llm import bpe, fmindex, html, licences, lines, lm, ngram_join, oracles, pii, quality, toxicity
 from strandlake.llm.common import read
 
 BYTE_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -68,4 +68,4 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_ngram_join, op4_lm_scoring, op5_pii, op6_decontamination, op7_line_dedup, op8_toxicity, op9_licence_scan, op10_html_extraction)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_ngram_join": oracles.similarity(), "op6_decontamination": oracles.decontamination(), "op7_line_dedup": oracles.line_dedup()}
