@@ -8,14 +8,18 @@ segment two. If none of the segments of a set matched, each would differ by its
 than H in all; so some segment is equal, or, for the second kind, equal but for one element. Documents
 emit a signature per equality segment, and for one-deletion segments also one per deleted element. How
 many segments are of which kind is allocated per band by the cost of signatures and of unselective ones.
-Empty segments match nothing and carry no unit; a set whose segments carry too few units emits, besides,
+Segments of one element or none are too common to be signatures and carry no unit; a set whose segments carry too few units emits, besides,
 the elements of its prefix (the smallest hashes), by which two such sets that are linked find each other.
 
-Equal sets are linked by a digest of the set. Among the others, the documents that share a signature are
-compared with the smallest one of them; that first comparison is made once per document, and most groups
-are one component then. Groups in which components remain apart are compared with one further member
-after another, and at last across the components. All comparisons are exact, on whole texts; comparisons
-are dealt out by (member compared with, salt), so that a large group is the work of many tasks.
+Equal sets are linked by a digest of the set. Each other document is compared with its hub, the document
+of most shared signatures among those that it shares one with; in a group of near copies this is the one
+that the others derive from. Two documents of one hub differ from each other where exactly one of them
+differs from the hub, so they are compared by their differences from it: an inverted index of the
+differences of those that aren't linked to the hub is held in blocks of bounded size, the differences of
+all members of the hub stream past it, and only links that join two components come out. If the
+documents of a signature still are in several components and have several hubs, all of them are compared
+in the same way with the leading one of their group, and through it with each other. All comparisons are exact and of whole texts. They
+are dealt out by (document compared with, salt), so that a large group is the work of many tasks.
 
 Defined results: a null or empty text has no n-grams and is its own component; a text with fewer than n
 words has its whole sequence as the only element; a document's id must not be null (such rows come
@@ -38,15 +42,15 @@ from strandlake.llm.common import append_columns, as_bytes, bounded_batches, mat
 from strandlake.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-WORDS_KEPT = 300_000
-#: Cost of an unselective signature (of a single element), in signatures.
-UNSELECTIVE = 10.0
+WORDS_KEPT = 200_000
+#: Cost of an unselective signature (of two elements), in signatures.
+UNSELECTIVE = 0.5
 #: Members that one task compares with a copy of the same document, at least, before the group is salted.
 PER_SALT = 500
+#: Members in a block of the index of differences, and members that one task streams past a block.
+BLOCK_MEMBERS, PROBES = 1_000, 10_000
 #: Bits of the filter of candidate ids; it is broadcast, so it has a fixed size.
 FILTER_BITS = 21
-#: Rounds of comparisons with single members before what remains is compared across components.
-ROUNDS = 3
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -76,9 +80,10 @@ def allocation(number: int, low: int, high: int, percent: int) -> Scheme | None:
         for _ in range(4):
             equal = max(0, most + 1 + spare - 2 * deletion)
             mean = low / (equal + deletion) if equal + deletion else low
-            empty = (equal + 2 * deletion) * math.exp(-mean) + deletion * mean * math.exp(-mean)
+            weak = math.exp(-mean) * (1 + mean)  # segments of one element or none carry no unit
+            empty = (equal + 2 * deletion) * weak + deletion * mean * mean / 2 * math.exp(-mean)
             spare = math.ceil(empty + 3 * math.sqrt(empty)) if equal + deletion > 1 else 0
-        cost = equal + deletion * (1 + mean) + UNSELECTIVE * math.exp(-mean) * (equal * mean + deletion * mean * mean / 2)
+        cost = equal + deletion * (1 + mean) + UNSELECTIVE * math.exp(-mean) * (equal * mean * mean / 2 + deletion * mean**3 / 6)
         if best is None or cost < best[0]:
             best = (cost, Scheme(number, most, equal, deletion))
     return best[1]
@@ -115,10 +120,11 @@ def signatures(h: np.ndarray, percent: int) -> np.ndarray:
         size = np.diff(np.append(first, len(values)))
         total, name = np.add.reduceat(values, first), segment[first]
         place = name.astype(np.uint64) * A + tag
-        out.append(mix(total + place))
-        units = len(first)
+        whole = size >= 2
+        out.append(mix(total[whole] + place[whole]))
+        units = int(whole.sum())
         if s.deletion:
-            twice = (name < s.deletion) & (size >= 2)
+            twice = (name < s.deletion) & (size >= 3)
             units += int(twice.sum())
             group = np.repeat(np.arange(len(first)), size)
             member = twice[group]
@@ -177,8 +183,8 @@ def emitted(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
     return append_columns(docs, [text], [("n_shingles", "bigint"), ("digest", "bigint"), ("sigs", "array<bigint>")], start, keep=["doc_id"], binary=True)
 
 
-def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The (u, v) of ``pairs`` whose texts are linked; each u's pairs are salted by their number."""
+def _streamed(pairs: DataFrame, texts: DataFrame, n: int) -> tuple[DataFrame, object]:
+    """Rows (u, salt, v, text), u's own text first with a null v, and a generator of (u, v, u's set, v's set) from them."""
     count = pairs.groupBy("u").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     members = pairs.join(count, "u").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), "v")
     members = members.join(texts, members.v == texts.doc_id).select("u", "salt", "v", "text")
@@ -187,24 +193,127 @@ def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     rows = members.unionByName(hubs).repartition("u", "salt").sortWithinPartitions("u", "salt", F.asc_nulls_first("v"))
     bounded_batches(pairs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         shingles, hub = Shingler(n), np.zeros(0, np.uint64)
         for part in sliced(batches):
-            us, vs = [], []
+            out = []
             for u, v, t in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), as_bytes(part.column(3)), strict=True):
                 h = shingles(t)
                 if v is None:
                     hub = h
-                    continue
-                common = len(np.intersect1d(hub, h, assume_unique=True))
-                if common and 100 * common >= percent * (len(hub) + len(h) - common):
-                    us.append(u)
-                    vs.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+                else:
+                    out.append((u, v, hub, h))
+            yield out
+
+    return rows, compared
+
+
+def _linked(difference: int, sizes: int, percent: int) -> bool:
+    """Whether sets that differ in so many elements, with so many in both together, are linked."""
+    return (100 + percent) * difference <= (100 - percent) * sizes
+
+
+def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` whose texts are linked; each u's pairs are salted by their number."""
+    rows, compared = _streamed(pairs, texts, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in compared(batches):
+            found = [(u, v) for u, v, a, b in part if _linked(len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True)), len(a) + len(b), percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
     return rows.mapInArrow(run, "u bigint, v bigint")
 
 
+def differences(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(u, v, link, size, diff): whether they are linked, v's size, and the elements that one of them has alone."""
+    rows, compared = _streamed(pairs, texts, n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in compared(batches):
+            apart = [np.setxor1d(a, b, assume_unique=True) for _, _, a, b in part]
+            link = [_linked(len(d), len(a) + len(b), percent) for d, (_, _, a, b) in zip(apart, part, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array(link, pa.bool_()), pa.array([len(x[3]) for x in part], pa.int64()), pa.array([d.tobytes() for d in apart], pa.binary())],
+                names=["u", "v", "link", "size", "diff"],
+            )
+
+    return rows.mapInArrow(run, "u bigint, v bigint, link boolean, size bigint, diff binary")
+
+
+class Block:
+    """Members that aren't linked to their hub, with an inverted index of their differences from it."""
+
+    def __init__(self, members: list[tuple[int, int, np.ndarray]], percent: int):
+        self.names = [m[0] for m in members]
+        self.sizes = np.array([m[1] for m in members], np.int64)
+        self.lengths = np.array([len(m[2]) for m in members], np.int64)
+        self.percent = percent
+        flat = np.concatenate([m[2] for m in members]) if members else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(members)), self.lengths)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.elements, self.first = np.unique(flat[order], return_index=True)
+        self.first = np.append(self.first, len(flat))
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            self.parent[x] = self.parent.get(up, up)
+            x = up
+        return x
+
+    def probe(self, name: int, size: int, diff: np.ndarray, hub: int | None) -> list[tuple[int, int]]:
+        """Links of a member to those of the block; only those that join two components. hub: if the member is linked to it."""
+        if not len(self.elements):
+            return []
+        at = np.minimum(np.searchsorted(self.elements, diff), len(self.elements) - 1)
+        at = at[self.elements[at] == diff]
+        count = self.first[at + 1] - self.first[at]
+        places = np.arange(count.sum()) + np.repeat(self.first[at] - (np.cumsum(count) - count), count)
+        common = np.bincount(self.owner[places], minlength=len(self.names))
+        apart = self.lengths + len(diff) - 2 * common
+        found = []
+        for k in np.flatnonzero((100 + self.percent) * apart <= (100 - self.percent) * (self.sizes + size)):
+            other = self.names[k]
+            a, b = self.root(name if hub is None else hub), self.root(other)
+            if other != name and a != b:
+                self.parent[max(a, b)] = min(a, b)
+                found.append((name, other))
+        return found
+
+
+def within_hubs(compared: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) among the members of one hub of which one or both aren't linked to the hub, from ``differences``."""
+    count = compared.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.when(F.col("link"), 0).otherwise(1)).alias("apart")).where("n > 1 AND apart > 0")
+    count = count.select("u", F.ceil(F.col("apart") / BLOCK_MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("n") / PROBES).cast("int").alias("salts"))
+    rows = compared.join(count, "u")
+    span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda c: F.pmod(F.xxhash64("v"), F.col(c)).cast("int")
+    held = rows.where("NOT link").withColumn("block", place("blocks")).withColumn("salt", F.explode(span("salts"))).withColumn("kind", F.lit(0))
+    passed = rows.withColumn("salt", place("salts")).withColumn("block", F.explode(span("blocks"))).withColumn("kind", F.lit(1))
+    names = ["u", "block", "salt", "kind", "v", "size", "link", "diff"]
+    both = held.select(*names).unionByName(passed.select(*names)).repartition("u", "block", "salt").sortWithinPartitions("u", "block", "salt", "kind", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, members, block = None, [], None
+        for part in sliced(batches):
+            found = []
+            for u, b, salt, kind, v, size, link, diff in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (u, b, salt) != here:
+                    here, members, block = (u, b, salt), [], None
+                d = np.frombuffer(diff, np.uint64)
+                if kind == 0:
+                    members.append((v, size, d))
+                    continue
+                if block is None:
+                    block, members = Block(members, percent), []
+                found += block.probe(v, size, d, u if link else None)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    return both.mapInArrow(run, "u bigint, v bigint")
+
+
 def _with_component(members: DataFrame, parts: DataFrame) -> DataFrame:
     found = members.drop("component").join(parts, members.doc_id == parts.node, "left")
     return found.withColumn("component", F.coalesce("component", "doc_id")).drop("node")
@@ -227,7 +336,7 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 4, perce
     shared = materialize(shared.where("own OR hub < doc_id OR next > doc_id").select("doc_id", "n_shingles", "own", "sig", "hub"))
     own = shared.where("own").select("doc_id", "n_shingles", F.col("hub").alias("same"))
     firsts = own.where("same = doc_id").select("doc_id").distinct()
-    members = materialize(shared.where("NOT own").select("sig", "doc_id", "n_shingles").distinct().join(firsts, "doc_id", "left_semi"))
+    members = shared.where("NOT own").select("sig", "doc_id", "n_shingles").distinct().join(firsts, "doc_id", "left_semi")
     parts = _link_members(members, named, n, percent)
     found = own.join(parts, own.same == parts.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "same").alias("component_id"))
     lost = docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -238,6 +347,10 @@ def similarity_components(docs: DataFrame, text: str = "text", n: int = 4, perce
 def _link_members(members: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
     """(node, component) of the documents that are linked to others, from their shared signatures."""
     spark = members.sparkSession
+    # how many signatures a document shares: many if others derive from it
+    each = Window.partitionBy("doc_id")
+    count = Window.partitionBy("sig")
+    members = materialize(members.withColumn("n", F.count("*").over(count)).where("n > 1").withColumn("pop", F.sum("n").over(each)).drop("n"))
     ids = members.select("doc_id").distinct()
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("int")
     bits = np.zeros(1 << FILTER_BITS, bool)
@@ -252,34 +365,29 @@ def _link_members(members: DataFrame, named: DataFrame, n: int, percent: int) ->
     bounded_batches(spark)
     texts = named.withColumn("_slot", slot("doc_id")).mapInArrow(only, "doc_id bigint, text string").join(ids, "doc_id", "left_semi")
     texts = materialize(texts.dropDuplicates(["doc_id"]))
-    hub = Window.partitionBy("sig").orderBy("doc_id")
-    links, done, parts = None, None, None
-    members = members.withColumn("component", F.col("doc_id"))
-    for step in range(ROUNDS + 2):
-        if step <= ROUNDS:
-            lead = hub.rowsBetween(Window.unboundedPreceding, 0)
-            paired = members.withColumn("u", F.first("doc_id").over(lead)).withColumn("u_size", F.first("n_shingles").over(lead)).withColumn("u_component", F.first("component").over(lead))
-            paired = paired.where("u < doc_id AND u_component <> component")
-        else:
-            other = members.select("sig", F.col("doc_id").alias("u"), F.col("n_shingles").alias("u_size"), F.col("component").alias("u_component"))
-            paired = members.join(other, "sig").where("u < doc_id AND u_component <> component")
-        pairs = paired.where(_possible("u_size", "n_shingles", percent)).select("u", F.col("doc_id").alias("v")).distinct()
-        if step == 0:  # the smallest of its hubs for each document
-            pairs = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-        if done is not None:
-            pairs = pairs.join(done, ["u", "v"], "left_anti")
-        pairs = materialize(pairs)
-        if pairs.take(1):
-            done = pairs if done is None else done.unionByName(pairs)
-            new = materialize(linked(pairs, texts, n, percent))
-            links = new if links is None else links.unionByName(new)
-            parts = materialize(components(links))
-        if parts is not None:
-            members = _with_component(members, parts)
-        if step:  # the first of each group has been compared with all that it could be linked to
-            members = members.withColumn("_place", F.row_number().over(hub)).where("_place > 1").drop("_place")
-        apart = members.groupBy("sig").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("sig")
-        members = materialize(members.join(apart, "sig", "left_semi"))
-        if not members.take(1):
-            break
-    return spark.createDataFrame([], "node bigint, component bigint") if parts is None else parts
+    # a document's hub: of those that it shares a signature with and that rank higher, the highest
+    high, low = F.col("rank"), F.struct(F.col("pop"), (-F.col("doc_id")).alias("minus"))
+    by_sig = Window.partitionBy("sig").orderBy(F.desc("pop"), "doc_id")
+    lead = by_sig.rowsBetween(Window.unboundedPreceding, 0)
+    led = members.select("sig", "doc_id", "n_shingles", "pop", low.alias("rank"))
+    led = led.withColumns({"u": F.first("doc_id").over(lead), "u_rank": F.first(high).over(lead), "u_size": F.first("n_shingles").over(lead)})
+    led = led.where(F.col("u") != F.col("doc_id")).where(_possible("u_size", "n_shingles", percent))
+    hubs = materialize(led.groupBy("doc_id").agg(F.max("u_rank").alias("r")).select("doc_id", (-F.col("r.minus")).alias("hub")))
+    compared = materialize(differences(hubs.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")), texts, n, percent))
+    links = materialize(compared.where("link").select("u", "v").unionByName(within_hubs(compared, percent)))
+    parts = materialize(components(links))
+    # what is left: groups of one signature with several components and several hubs; all members of such a
+    # group are compared with its leading one, and through it with each other
+    members = _with_component(members.join(hubs, "doc_id", "left").withColumn("hub", F.coalesce("hub", "doc_id")), parts)
+    left = members.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("hub").alias("h0"), F.max("hub").alias("h1")).where("c0 < c1 AND h0 < h1").select("sig")
+    members = members.join(left, "sig", "left_semi").withColumns({"u": F.first("doc_id").over(lead), "u_size": F.first("n_shingles").over(lead)})
+    pairs = materialize(members.where("u <> doc_id").select("u", F.col("doc_id").alias("v"), "u_size", F.col("n_shingles").alias("v_size")).distinct())
+    if not pairs.take(1):
+        return parts
+    alone = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n = 1").select("u")
+    done = compared.select("u", "v")
+    single = pairs.join(alone, "u", "left_semi").where(_possible("u_size", "v_size", percent)).select("u", "v").join(done, ["u", "v"], "left_anti")
+    several = materialize(pairs.join(alone, "u", "left_anti").select("u", "v"))
+    again = materialize(differences(several.join(done, ["u", "v"], "left_anti"), texts, n, percent).unionByName(compared.join(several, ["u", "v"], "left_semi")))
+    links = links.unionByName(linked(single, texts, n, percent)).unionByName(again.where("link").select("u", "v")).unionByName(within_hubs(again, percent))
+    return materialize(components(links))

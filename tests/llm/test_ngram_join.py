@@ -89,7 +89,8 @@ def test_linked_sets_share_a_signature(percent):
                     assert np.intersect1d(J.signatures(a, percent), J.signatures(b, percent)).size
 
 
-def test_connected_components(spark):
+@pytest.mark.parametrize("one_task", [0, 1000])
+def test_connected_components(spark, one_task):
     r = random.Random(3)
     edges = [(r.randint(1, 80), r.randint(1, 80)) for _ in range(50)] + [(200 + i, 201 + i) for i in range(40)] + [(7, 7), (None, 3)]
     parent = {}
@@ -98,5 +99,5 @@ def test_connected_components(spark):
         if u and v and u != v:
             a, b = root(u), root(v)
             parent[max(a, b)] = min(a, b)
-    found = {x.node: x.component for x in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    found = {x.node: x.component for x in components(spark.createDataFrame(edges, "u bigint, v bigint"), one_task).collect()}
     assert found == {x: root(x) for x in parent}
