@@ -8,8 +8,9 @@ segment two. If none of the segments of a set matched, each would differ by its
 than H in all; so some segment is equal, or, for the second kind, equal but for one element. Documents
 emit a signature per equality segment, and for one-deletion segments also one per deleted element. How
 many segments are of which kind is allocated per band by the cost of signatures and of unselective ones.
-Segments of one element or none are too common to be signatures and carry no unit; a set whose segments carry too few units emits, besides,
-the elements of its prefix (the smallest hashes), by which two such sets that are linked find each other.
+Segments of one element or none are too common to be signatures and carry no unit; a set whose segments
+carry too few units emits, besides, the elements of its prefix (the smallest hashes), by which two such
+sets that are linked find each other.
 
 Equal sets are linked by a digest of the set. Each other document is compared with its hub, the document
 of most shared signatures among those that it shares one with; in a group of near copies this is the one
@@ -18,8 +19,9 @@ differs from the hub, so they are compared by their differences from it: an inve
 differences of those that aren't linked to the hub is held in blocks of bounded size, the differences of
 all members of the hub stream past it, and only links that join two components come out. If the
 documents of a signature still are in several components and have several hubs, all of them are compared
-in the same way with the leading one of their group, and through it with each other. All comparisons are exact and of whole texts. They
-are dealt out by (document compared with, salt), so that a large group is the work of many tasks.
+in the same way with the leading one of their group, and through it with each other. All comparisons are
+exact and of whole texts. They are dealt out by (document compared with, salt), so that a large group is
+the work of many tasks.
 
 Defined results: a null or empty text has no n-grams and is its own component; a text with fewer than n
 words has its whole sequence as the only element; a document's id must not be null (such rows come
