@@ -129,6 +129,14 @@ def test_pii_base_equals_brute_force(spark):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
+def test_pii_addresses_with_zero_parts(spark):
+    good = ["10.0.0.1", "0.0.0.0", "010.000.0.01", "192.168.0.1", "127.0.0.1", "8.8.8.8", "0255.0249.0199.099"]
+    texts = [f"host {x} up" for x in [*good, "0256.0.0.0", "10.0.0.300", "1.0.0", "0.0.0." + "0" * 3000, "0" * 3000 + ".0.0.0256"]]
+    found = {x.text: x for x in pii.detect(spark.createDataFrame([(t,) for t in texts], "text string")).collect()}
+    assert [found[t].base_spans for t in texts] == [brute_spans(t) for t in texts]
+    assert all(found[t].n_ip == 1 for t in texts[: len(good)])
+
+
 def test_pii_adds_candidates_and_runs_no_python(spark):
     secrets = [(i, f"words and words password={zlib.crc32(str(i).encode()):08x}ab99cd here, see internationalization ok") for i in range(60)]
     found = pii.detect(spark.createDataFrame(secrets, "doc_id bigint, text string"))
