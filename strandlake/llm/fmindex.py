@@ -10,7 +10,8 @@ occurrence is located by steps back to a sampled position. A document's occurren
 removal spans.
 
 The scan has no shuffle. The benchmark is counted first; beyond ``PHRASE_BYTES`` of text it is taken in
-as many parts as keep each part within that bound, and the spans of the parts are merged per document.
+as many parts as keep each part within that bound. The rows are then written once with a key of their
+own, by which the spans of the parts are merged; documents without an id, or of one id, stay apart.
 
 Defined results: a null or empty text has no words, no hits and is not contaminated; a null or empty
 item has no phrase; repeated items count each by its item_id; whole texts are searched.
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandlake.llm.common import append_columns
+from strandlake.llm.common import append_columns, materialize
 
 WINDOW = 13
 SAMPLE = 16
@@ -231,22 +232,19 @@ def merge_spans(column):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
-    """``docs`` with ``n_words``, removal ``spans`` in words, ``items``, ``n_hit``, ``n_items`` and ``contaminated``.
-
-    ``doc_id`` must identify a row if the benchmark takes more than one part.
-    """
+    """``docs`` with ``n_words``, removal ``spans`` in words, ``items``, ``n_hit``, ``n_items`` and ``contaminated``."""
     size = benchmark.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = -(-size // phrase_bytes) or 1
     fetch = lambda k: [(r[0], r[1].encode() if r[1] is not None else None) for r in benchmark.where(F.pmod(F.xxhash64(item), F.lit(parts)) == k).select(item, text).collect()]
     if parts == 1:
         found = _scan(docs, fetch(0), text, window)
     else:
-        scans = [_scan(docs.select("doc_id", text), fetch(k), text, window).drop(text) for k in range(parts)]
-        every = scans[0]
-        for scan in scans[1:]:
-            every = every.unionByName(scan)
-        merged = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        found = docs.drop("n_words", "spans", "items").join(merged, "doc_id")
+        rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+        every = _scan(rows.select("_row", text), fetch(0), text, window).drop(text)
+        for k in range(1, parts):
+            every = every.unionByName(_scan(rows.select("_row", text), fetch(k), text, window).drop(text).where(F.size("spans") > 0))
+        merged = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        found = rows.drop("n_words", "spans", "items").join(merged, "_row").drop("_row")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 

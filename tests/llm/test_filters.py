@@ -79,6 +79,19 @@ def test_decontamination_equals_brute_force(spark, parts):
             assert len(fmindex.words_of(x.text.encode())) == want[x.doc_id][0] - want[x.doc_id][1]
 
 
+def test_decontamination_of_rows_without_or_of_one_id(spark):
+    items = spark.createDataFrame([(1, "a b c"), (2, "x y z"), (3, "p q r")], "item_id bigint, text string")
+    rows = [(None, "one a b c two"), (None, "x y z"), (None, None), (7, "a b c and p q r"), (7, "tail x y z"), (7, "short"), (8, "a b c"), (8, "a b c")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    results = []
+    for parts in (1 << 23, 6):
+        found = fmindex.decontaminate(docs, items, phrase_bytes=parts)
+        results.append(sorted(map(repr, found.collect())))
+        cut = sorted((r.doc_id or 0, r.text or "") for r in fmindex.remove_spans(found).collect())
+        assert cut == [(0, ""), (0, ""), (0, "one  two"), (7, " and "), (7, "short"), (7, "tail "), (8, ""), (8, "")]
+    assert len(results[0]) == len(rows) and results[0] == results[1]
+
+
 def test_no_benchmark(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id bigint, text string")
     empty = spark.createDataFrame([], "item_id bigint, text string")
