@@ -1,9 +1,10 @@
 """Licence scans by sentence rules.
 
-A text is cut into sentences, which are normalised and looked up among known licence sentences. The
-identifiers found, in order of appearance, are matched against ordered rules; a rule whose sequence of
+A text is cut into pieces at sentence marks and line ends, after comment prefixes. Consecutive pieces
+of a paragraph that make up a known licence sentence when normalised are recognised as it (the longest
+one from each piece), so notices may be wrapped, commented out or punctuated in any way. The identifiers found, in order of appearance, are matched against ordered rules; a rule whose sequence of
 identifiers occurs (with up to ``GAP`` other recognised sentences in between) names a licence and
-consumes its sentences. Sentences that speak of a licence but are not known are counted as unknown.
+consumes its sentences. Other pieces that speak of a licence are counted as unknown.
 
 Defined results: a null or empty text has no licence; ties go to the earlier rule; repeated sentences
 are separate matches; whole texts are read, and texts without a trigger word are passed over; other
@@ -21,7 +22,7 @@ from strandlake.llm.common import append_columns
 GAP = 2
 
 # Known sentences of public licences, normalised (lower case, single spaces, no
-# punctuation but dots within numbers); # stands for a version number.
+# punctuation but dots within words); # stands for a version number.
 SENTENCES = {
     "released under the mit license": "mit-ref",
     "licensed under the mit license": "mit-ref",
@@ -73,32 +74,86 @@ RULES = [
     ("CC-BY-{}", ("cc-by",)),
     ("all-rights-reserved", ("reserved",)),
 ]
-TRIGGERS = re.compile("licen[sc]e|in compliance with|copyright|rights reserved|permission|redistribut|warrant|free software|spdx", re.I)
+# White space within a phrase, which may be a line end and the next line's comment prefix.
+WRAP = r"(?:[^\S\n]+|[^\S\n]*\n[\s*#/;%>-]*)"
+TRIGGERS = re.compile(f"licen[sc]e|in{WRAP}compliance{WRAP}with|copyright|rights{WRAP}reserved|permission|redistribut|warrant|free{WRAP}software|spdx", re.I)
 SENTENCE = re.compile(r"(?:[^.;:!?\n]|[.;:!?](?!\s|$))+")
+#: Comment and list marks that a line may begin with.
+PREFIX = re.compile(r"\s*(?:(?:/\*+|\*+/|//+|[*#%>;]+|--+>?|<!--+|-(?=\s)|dnl\b|rem\b|\(?[0-9a-z]\)(?=\s))\s*)*", re.I)
+FIRST = re.compile(r"[^a-z0-9#]*([a-z0-9.#/\"]+)", re.I)
 VERSION = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 FIELDS = [("licences", "array<string>"), ("spans", "array<string>"), ("n_known", "bigint"), ("n_unknown", "bigint")]
 
 
-def normal(sentence: str) -> tuple[str, str]:
-    """The normalised sentence with # for its first version number, and that number."""
-    s = re.sub(r"[^a-z0-9.#]+", " ", sentence.lower().replace("/", "").replace('"', "")).strip(" .")
+def plain(piece: str) -> str:
+    """Lower case words with single spaces; dots only within words."""
+    s = re.sub(r"[^a-z0-9.#]+", " ", piece.lower().replace("/", "").replace('"', ""))
+    return re.sub(r"\.+(?= |$)", "", s).strip(" .")
+
+
+def versioned(s: str) -> tuple[str, str]:
+    """Normalised words with # for their first version number, and that number."""
     m = VERSION.search(s)
     return (f"{s[: m.start()]}#{s[m.end() :]}", m[0]) if m else (s, "")
 
 
-def recognised(text: str, sentences: dict[str, str] = SENTENCES) -> tuple[int, list[tuple[str, str, int, int]]]:
-    """Unknown licence sentences, and (identifier, version, start, end) of the known ones; sentences end with their line."""
-    found, unknown, at = [], 0, 0
+class Known:
+    """Known sentences in the form of ``plain``, what they can begin with, and their first words."""
+
+    def __init__(self, sentences: dict[str, str]):
+        self.names = {versioned(plain(s))[0]: name for s, name in sentences.items()}
+        words = [s.split(" ") for s in self.names]
+        self.beginnings = {" ".join(w[:k]) for w in words for k in range(1, len(w) + 1)}
+        self.first = {w[0] for w in words}
+
+    def may_begin(self, text: str, start: int, end: int) -> bool:
+        m = FIRST.match(text, start, end)
+        word = m and m[1].replace("/", "").replace('"', "").rstrip(".").lower()
+        return m is not None and (not word or word in self.first or word[0].isdigit())
+
+    def longest(self, text: str, pieces: list, k: int) -> tuple[str, str, int, int] | None:
+        """(identifier, version, end, next piece) of the longest known sentence that begins with piece k."""
+        words, best = "", None
+        while k < len(pieces) and pieces[k] is not None:
+            if more := plain(text[slice(*pieces[k])]):
+                words = f"{words} {more}" if words else more
+                s, version = versioned(words)
+                if s not in self.beginnings:
+                    break
+                if s in self.names:
+                    best = (self.names[s], version, pieces[k][1], k + 1)
+            k += 1
+        return best
+
+
+def pieces_of(text: str) -> list[tuple[int, int] | None]:
+    """Start and end of the pieces between sentence marks and line ends, without comment prefixes; None between paragraphs."""
+    out, at = [], 0
     for line in text.split("\n"):
-        if TRIGGERS.search(line):
-            for m in SENTENCE.finditer(line):
-                if TRIGGERS.search(m[0]):
-                    s, version = normal(m[0])
-                    if name := sentences.get(s):
-                        found.append((name, version, at + m.end() - len(m[0].lstrip()), at + m.end()))
-                    else:
-                        unknown += 1
+        body = PREFIX.match(line).end()
+        if body == len(line):
+            out.append(None)
+        for m in SENTENCE.finditer(line, body):
+            if s := m[0].lstrip():
+                out.append((at + m.end() - len(s), at + m.end()))
         at += len(line) + 1
+    return out
+
+
+def recognised(text: str, known: Known) -> tuple[int, list[tuple[str, str, int, int]]]:
+    """Unknown pieces about licences, and (identifier, version, start, end) of the known sentences."""
+    found, unknown, k = [], 0, 0
+    pieces = pieces_of(text)
+    while k < len(pieces):
+        if pieces[k] is not None:
+            start, end = pieces[k]
+            best = known.longest(text, pieces, k) if known.may_begin(text, start, end) else None
+            if best and TRIGGERS.search(text, start, best[2]):
+                name, version, end, k = best
+                found.append((name, version, start, end))
+                continue
+            unknown += TRIGGERS.search(text, start, end) is not None
+        k += 1
     return unknown, found
 
 
@@ -127,10 +182,12 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, str] | None =
     sentences, rules = sentences or SENTENCES, rules or RULES
 
     def start():
+        known = Known(sentences)
+
         def work(columns):
             rows = []
             for t in columns[0]:
-                unknown, found = recognised(t, sentences) if t and TRIGGERS.search(t) else (0, [])
+                unknown, found = recognised(t, known) if t and TRIGGERS.search(t) else (0, [])
                 hits = matched(found, rules)
                 rows.append(([h[0] for h in hits], [f"{a}:{b}:{c}" for a, b, c in hits], len(found), unknown))
             return list(map(list, zip(*rows, strict=True))) if rows else [[] for _ in FIELDS]

@@ -202,6 +202,84 @@ def test_licences(spark):
     assert rows[0][1][int(a) : int(b)] == "Licensed under the Apache License, Version 2.0"
 
 
+NOTICES = {
+    "GPL-3-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>.""",
+    "GPL-2-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "all-rights-reserved": "Copyright 2020 Example\nAll rights\nreserved",
+}
+
+
+def test_official_notices(spark):
+    unwrapped = lambda t: re.sub(r"(?<!\n)\n[ ]*(?!\n)", " ", t)
+    commented = lambda t, mark: "\n".join(f"{mark} {line}".rstrip() for line in t.split("\n"))
+    rows = []
+    for name, t in NOTICES.items():
+        rows += [(name, t), (name, t.replace("\n", "\r\n")), (name, f"/*\n{commented(t, ' *')}\n */\nint x;"), (name, commented(t, "#")), (name, commented(t, "//"))]
+        rows += [(name, unwrapped(t))] if name != "all-rights-reserved" else []
+    docs = spark.createDataFrame(rows, "want string, text string")
+    for x in licences.scan(docs).collect():
+        assert x.licences == [x.want], x.text
+    last = licences.scan(docs.where("want = 'all-rights-reserved'")).first()
+    assert last.text[slice(*map(int, last.spans[0].split(":")[1:]))] == "All rights\nreserved" and (last.n_known, last.n_unknown) == (1, 1)
+
+
 # --- HTML --------------------------------------------------------------------------------------------------------
 
 
