@@ -6,7 +6,6 @@ sites each, with a negative effect on chr2 and a positive one on chr4 for the sa
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,9 @@ from strandlake.functions.codes import ModSpec, safe_label
 from strandlake.operators import calls as call_ops
 from strandlake.operators import collapse, diff, qc, summarize
 from strandlake.plans import analysis
-from strandlake.plans.store import ModStore
+from strandlake.plans.store import SUFFIX, ModStore
 from strandlake.sources import ingest, stats
+from strandlake.sources.folders import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -494,8 +494,7 @@ def _(spark, sf_dir):
 
 def _store(spark: SparkSession) -> ModStore:
     """A new store in the shared folder of spark.checkpoint.dir."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "/tmp/strandlake-stores")
-    return ModStore(spark, f"{base}/store-{uuid.uuid4().hex}")
+    return ModStore(spark, new_folder(spark, "store") + SUFFIX)
 
 
 @register("sig_export_join", cte(pos(), ENDED, _pooled_sql("ended", SITES), _tested_sql(MIDP)) + f'SELECT p.sample_name, p.chrom, p.start, p."end", p.num_calls, {listed()} FROM (SELECT e.* FROM ended AS e JOIN tested AS t ON e.chrom = t.chrom AND e.start = t.start WHERE t.p_val <= 0.05) AS p')
