@@ -17,7 +17,7 @@ from strandlake.operators import collapse, diff, qc, summarize
 from strandlake.plans import analysis
 from strandlake.plans.store import SUFFIX, ModStore
 from strandlake.sources import ingest, stats
-from strandlake.sources.folders import new_folder
+from strandlake.sources.folders import new_folder, remove_at_exit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -494,7 +494,9 @@ def _(spark, sf_dir):
 
 def _store(spark: SparkSession) -> ModStore:
     """A new store in the shared folder of spark.checkpoint.dir."""
-    return ModStore(spark, new_folder(spark, "store") + SUFFIX)
+    store = ModStore(spark, new_folder(spark, "store") + SUFFIX)
+    remove_at_exit(spark, store.path)
+    return store
 
 
 @register("sig_export_join", cte(pos(), ENDED, _pooled_sql("ended", SITES), _tested_sql(MIDP)) + f'SELECT p.sample_name, p.chrom, p.start, p."end", p.num_calls, {listed()} FROM (SELECT e.* FROM ended AS e JOIN tested AS t ON e.chrom = t.chrom AND e.start = t.start WHERE t.p_val <= 0.05) AS p')

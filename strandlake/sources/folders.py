@@ -23,8 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """A new path in the shared folder, which is removed when the driver ends."""
-    path = f"{shared_folder(spark)}/strandlake-{kind}-{uuid.uuid4().hex}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/strandlake-{kind}-{uuid.uuid4().hex}"
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove an existing folder when the driver's JVM ends."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return path
