@@ -23,11 +23,9 @@ from strandlake.llm.common import append_columns
 #: Documents whose pieces are replayed together.
 SLICE = 1024
 #: Pieces whose ids a task keeps at most.
-PIECES_KEPT = 200_000
+PIECES_KEPT = 100_000
 #: Pieces that are replayed at once, at most.
 REPLAYED = 32_768
-#: Token pairs whose ranks a task keeps at most.
-PAIRS_KEPT = 500_000
 #: \s of the split pattern is the property White_Space.
 WHITE_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -46,6 +44,7 @@ class Splitter:
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
+    """Ranks by token; the file is read by the driver."""
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(bytes.strip, lines))}
 
@@ -130,28 +129,34 @@ class Layout:
         return np.split(self.symbol[left], np.searchsorted(left, self.starts[1:]))
 
 
-class MergeReplay:
+class Vocabulary:
+    """The tokens of a rank file, and all pairs of tokens that make one, as sorted arrays that tasks share by value."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.token = {rank: token for token, rank in ranks.items()}
+        keys, made = [], []
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                a, b = ranks.get(token[:k]), ranks.get(token[k:])
+                if a is not None and b is not None:
+                    keys.append(a << 20 | b)
+                    made.append(rank)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        #: A pair's key is its first id * 2**20 + the second; the last key ends the table.
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.made = np.append(np.array(made, np.int32)[order], -1)
         self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        self.pairs: dict[int, int] = {}
-        self.ids: dict[str, bytes] = {}
-
-    def made(self, key: int) -> int:
-        """Rank of the token that the pair of a key makes, or -1; the key is the first id * 2**20 + the second."""
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) >= PAIRS_KEPT:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.token[key >> 20] + self.token[key & 0xFFFFF], -1)
-        return rank
 
     def ranks_of(self, keys: np.ndarray) -> np.ndarray:
-        if len(keys) < 8:
-            return np.fromiter(map(self.made, keys.tolist()), np.int64, len(keys))
-        distinct, where = np.unique(keys, return_inverse=True)
-        return np.fromiter(map(self.made, distinct.tolist()), np.int64, len(distinct))[where]
+        """Ranks of the tokens that the pairs make, or -1."""
+        at = np.searchsorted(self.keys, keys)
+        return np.where(self.keys[at] == keys, self.made[at], -1).astype(np.int64)
+
+
+class MergeReplay:
+    def __init__(self, vocabulary: Vocabulary):
+        self.ranks, self.byte, self.ranks_of = vocabulary.ranks, vocabulary.byte, vocabulary.ranks_of
+        self.ids: dict[str, bytes] = {}
 
     def replay(self, pieces: list[bytes]) -> list[np.ndarray]:
         """The ids of each piece, after all merges in rank order over all pieces at once."""
@@ -174,7 +179,12 @@ class MergeReplay:
             for p, ids in zip(whole[at : at + REPLAYED], self.replay(parts[at : at + REPLAYED]), strict=True):
                 self.ids[p] = ids.astype("<u4").tobytes()
 
-    def decode(self, packed: bytes) -> bytes:
+
+class Decoder:
+    def __init__(self, vocabulary: Vocabulary):
+        self.token = {rank: token for token, rank in vocabulary.ranks.items()}
+
+    def __call__(self, packed: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
@@ -182,11 +192,11 @@ def _whole(text: str | None) -> str:
     return text or ""
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary, pattern: str, text: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens`` and ``token_ids``, the ids packed as little-endian unsigned 32-bit integers."""
 
     def start():
-        split, bpe = Splitter(pattern), MergeReplay(ranks)
+        split, bpe = Splitter(pattern), MergeReplay(vocabulary)
 
         def work(columns):
             pieces = [split(_whole(t)) for t in columns[0]]
@@ -199,11 +209,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "
     return append_columns(docs, [text], [("n_tokens", "bigint"), ("token_ids", "binary")], start, rows=SLICE)
 
 
-def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "token_ids") -> DataFrame:
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "token_ids") -> DataFrame:
     """``encoded`` with ``decoded``, the bytes that its packed ids stand for; null ids give no bytes."""
 
     def start():
-        bpe = MergeReplay(ranks)
-        return lambda columns: [[bpe.decode(x or b"") for x in columns[0]]]
+        back = Decoder(vocabulary)
+        return lambda columns: [[back(x or b"") for x in columns[0]]]
 
     return append_columns(encoded, [ids], [("decoded", "binary")], start)

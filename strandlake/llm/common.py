@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from strandlake.sources.folders import new_folder, remove_at_exit
 
 #: Rows that a Python worker turns into Python objects at once.
 SLICE_ROWS = 256
-#: Byte limit of one Arrow batch between the JVM and a Python worker.
-BATCH_BYTES = 16 << 20
-#: Where checkpoints go when the session names no folder (tests on one machine only).
-LOCAL_CHECKPOINTS = "/tmp/strandlake-checkpoints"
+#: Byte limit of one Arrow batch between the JVM and a Python worker, and about that of a slice of it.
+BATCH_BYTES, SLICE_BYTES = 8 << 20, 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -26,16 +29,16 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS))
-    return df.checkpoint(eager=True)
+def frugal() -> None:
+    """Let Arrow take memory where ``give_back`` can return it to the system."""
+    pa.set_memory_pool(pa.system_memory_pool())
 
 
-def type_of(df: DataFrame, column: str) -> T.DataType:
-    return df.schema[column].dataType
+def give_back() -> None:
+    """Return a finished task's memory to the system; Python workers are used again for other tasks."""
+    gc.collect()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -47,8 +50,9 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        fit = max(1, min(rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for start in range(0, batch.num_rows, fit):
+            yield batch.slice(start, fit)
 
 
 def append_columns(
@@ -71,27 +75,27 @@ def append_columns(
     sent = kept + [c for c in inputs if c not in kept]
     made = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
     schema = T.StructType([df.schema[c] for c in kept] + list(made.fields))
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
         work = start()
         for part in sliced(batches, rows):
             columns = [part.column(part.schema.get_field_index(c)) for c in inputs]
             out = work([as_bytes(c) if binary else c.to_pylist() for c in columns])
             arrays = [part.column(i) for i in range(len(kept))] + [pa.array(v, type=arrow.field(i).type) for i, v in enumerate(out)]
+            out = columns = None
             yield pa.RecordBatch.from_arrays(arrays, names=kept + names)
+        work = None
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in sent]).mapInArrow(run, schema)
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir`` and read again."""
-    import uuid
-
+    """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir`` and read again; removed when the driver ends."""
     spark = df.sparkSession
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", LOCAL_CHECKPOINTS)
-    path = f"{folder}/strandlake-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
+    remove_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

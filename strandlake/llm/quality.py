@@ -7,8 +7,9 @@ each measure lies in the band of its language, or of the script of most of its l
 language has no band.
 
 Defined results: a null or empty text has no words and fails; repeated rows get equal results; a text
-is measured whole, however long; a document exactly on a bound is kept; columns of the input stay,
-except those named as an output, which are replaced.
+is measured whole, however long, and with runs of white space of any length; a document exactly on a
+bound is kept; an empty table gives an empty table; columns of the input stay, except those named as an
+output, which are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame
 
-from strandlake.llm.bpe import read_ranks
+from strandlake.llm.bpe import MergeReplay, Splitter, Vocabulary, read_ranks
 from strandlake.llm.common import append_columns
 
 # Rejection bands. Per language or script: least and most characters per token, most
@@ -40,6 +41,8 @@ BANDS = {
     "other": (0.30, 8.0, 0.95, 2.0),
 }
 SLACK = 1.2
+#: White space beyond that of single spaces from which on a text may have a run that the library's splitter can't take.
+LONG_SPACE = 4_000
 #: Fewest words, and most words in repeated windows, in hundredths.
 MIN_WORDS, MAX_REPEATED = 50, 50
 
@@ -100,7 +103,7 @@ def main_script(text: str) -> str:
 
 def quality(docs: DataFrame, ranks_path: str, pieces_path: str, pattern: str, text: str = "text", lang: str | None = "lang", bands: dict | None = None) -> DataFrame:
     """``docs`` with the base counts, the fertility measures, ``base_failed`` and ``kept``."""
-    bands, ranks = bands or BANDS, read_ranks(ranks_path)
+    bands, vocabulary = bands or BANDS, Vocabulary(read_ranks(ranks_path))
     with open(pieces_path, "rb") as model:
         pieces = model.read()
     inputs = [text] + ([lang] if lang and lang in docs.columns and lang != text else [])
@@ -109,7 +112,16 @@ def quality(docs: DataFrame, ranks_path: str, pieces_path: str, pattern: str, te
         import sentencepiece
         import tiktoken
 
-        bpe = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        bpe = tiktoken.Encoding("fertility", pat_str=pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+        split, replay = Splitter(pattern), MergeReplay(vocabulary)
+
+        def token_count(t: str, spaced: bool) -> int:
+            if not spaced:
+                return len(bpe.encode_ordinary(t))
+            pieces = split(t)
+            replay.learn(set(pieces))
+            return sum(len(replay.ids[p]) for p in pieces) // 4
+
         piece = sentencepiece.SentencePieceProcessor(model_proto=pieces)
         spelt = np.array([piece.is_byte(i) for i in range(piece.vocab_size())])
 
@@ -121,7 +133,7 @@ def quality(docs: DataFrame, ranks_path: str, pieces_path: str, pattern: str, te
                 words, chars, symbols, dup, repeat = base_counts(b)
                 failed = words < MIN_WORDS or 100 * repeat > MAX_REPEATED * words
                 t = b.decode()
-                n = len(bpe.encode_ordinary(t))
+                n = token_count(t, len(t) - chars - words > LONG_SPACE)
                 ids = np.asarray(piece.encode(t), np.int64)
                 language = (language or b"").decode()
                 band = language if language in bands else main_script(t)

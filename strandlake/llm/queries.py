@@ -19,9 +19,9 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = bpe.read_ranks(public_tokenizers.path(BYTE_BPE))
-    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
-    return bpe.decode(encoded, ranks).select(
+    vocabulary = bpe.Vocabulary(bpe.read_ranks(public_tokenizers.path(BYTE_BPE)))
+    encoded = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, public_tokenizers.PATTERN).drop("text")
+    return bpe.decode(encoded, vocabulary).select(
         "doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

@@ -22,6 +22,11 @@ def ranks():
     return bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
 
 
+@pytest.fixture(scope="module")
+def vocabulary(ranks):
+    return bpe.Vocabulary(ranks)
+
+
 @pytest.fixture(scope="module")
 def encoding(ranks):
     return tiktoken.Encoding("test", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -32,21 +37,21 @@ def noise(seed, n):
     return ["".join(r.choice("abcab thein  éñ日\n'.,019_😀") for _ in range(r.randint(0, 200))) for _ in range(n)]
 
 
-def test_replay_equals_the_library(ranks, encoding):
-    split, replay = bpe.Splitter(P.PATTERN), bpe.MergeReplay(ranks)
+def test_replay_equals_the_library(vocabulary, encoding):
+    split, replay, back = bpe.Splitter(P.PATTERN), bpe.MergeReplay(vocabulary), bpe.Decoder(vocabulary)
     for texts in ([t or "" for t in TEXTS], noise(1, 400)):
         pieces = [split(t) for t in texts]
         replay.learn(set().union(*pieces))
         for t, p in zip(texts, pieces, strict=True):
             packed = b"".join(replay.ids[x] for x in p)
             assert np.frombuffer(packed, "<u4").tolist() == encoding.encode_ordinary(t)
-            assert replay.decode(packed) == t.encode()
+            assert back(packed) == t.encode()
 
 
 def test_merges_whose_order_matters():
     """A merge that makes a pair of lower rank goes on there first; overlapping pairs go from the left."""
     ranks = {bytes([b]): b for b in range(256)} | {b"abc": 300, b"ab": 310, b"aa": 320, b"cab": 305, b"aaa": 301}
-    replay = bpe.MergeReplay(ranks)
+    replay = bpe.MergeReplay(bpe.Vocabulary(ranks))
 
     def plain(piece):
         parts = [piece[i : i + 1] for i in range(len(piece))]
@@ -62,14 +67,14 @@ def test_merges_whose_order_matters():
     assert [x.tolist() for x in replay.replay(pieces)] == [plain(p) for p in pieces]
 
 
-def test_encode_decode_frames(spark, ranks, encoding):
+def test_encode_decode_frames(spark, vocabulary, encoding):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(TEXTS + TEXTS[:3])], "doc_id bigint, text string, n_tokens string")
-    rows = bpe.decode(bpe.encode(docs, ranks, P.PATTERN), ranks).collect()
+    rows = bpe.decode(bpe.encode(docs, vocabulary, P.PATTERN), vocabulary).collect()
     assert len(rows) == len(TEXTS) + 3
     for r in rows:
         ids = encoding.encode_ordinary(r.text or "")
         assert r.n_tokens == len(ids) and np.frombuffer(bytes(r.token_ids), "<u4").tolist() == ids and bytes(r.decoded) == (r.text or "").encode()
-    assert bpe.encode(docs.limit(0), ranks, P.PATTERN).count() == 0
+    assert bpe.encode(docs.limit(0), vocabulary, P.PATTERN).count() == 0
 
 
 def test_query_digests(spark, encoding, tmp_path):
@@ -114,6 +119,15 @@ def test_quality_bands(spark):
     assert found == {1: True, 2: False}
 
 
+def test_quality_of_very_long_texts(spark, encoding):
+    texts = [" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "x" * 1_000_000, ("word " * 60 + " " * 5_000) * 3, "日" * 300_000, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {x.doc_id: x for x in quality.quality(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.path("piece_bpe_32k.model"), P.PATTERN).drop("text").collect()}
+    assert [found[i].n_words for i in range(6)] == [0, 2, 1, 180, 1, 0]
+    assert found[3].chars_per_token == pytest.approx(len(texts[3]) / len(encoding.encode_ordinary(texts[3])))
+    assert quality.quality(docs.limit(0), P.path("byte_bpe_multi_50k.tiktoken"), P.path("piece_bpe_32k.model"), P.PATTERN).count() == 0
+
+
 def test_lm_base_and_mixing(spark):
     r = random.Random(2)
     grammar = {"the": ["cat", "dog"], "cat": ["sat", "ran"], "dog": ["ran", "sat"], "sat": ["down", "the"], "ran": ["off", "the"], "down": ["the"], "off": ["the"]}
