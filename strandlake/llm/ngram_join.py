@@ -12,20 +12,22 @@ Segments of one element or none are too common to be signatures and carry no uni
 carry too few units emits, besides, the elements of its prefix (the smallest hashes), by which two such
 sets that are linked find each other.
 
-Equal sets are linked by a digest of the set. Each other document is compared with its hub, the document
-of most shared signatures among those that it shares one with; in a group of near copies this is the one
-that the others derive from. Two documents of one hub differ from each other where exactly one of them
-differs from the hub, so they are compared by their differences from it: an inverted index of the
-differences of those that aren't linked to the hub is held in blocks of bounded size, the differences of
-all members of the hub stream past it, and only links that join two components come out. If the
-documents of a signature still are in several components and have several hubs, all of them are compared
-in the same way with the leading one of their group, and through it with each other. All comparisons are
-exact and of whole texts. They are dealt out by (document compared with, salt), so that a large group is
-the work of many tasks.
+Equal sets are one set, known by its digest; from here on sets are compared, not documents, and of equal
+ones a task emits one. Signatures are grouped by sums with partial aggregation, so no task holds the
+documents of a signature. Each set is compared with its hub, the set of most shared signatures among
+those that it shares one with; in a group of near copies this is the one that the others derive from.
+Two sets of one hub differ from each other where exactly one of them differs from the hub, so they are
+compared by their differences from it: an inverted index of the differences of those that aren't linked
+to the hub is held in blocks of bounded size, and the differences of all members of the hub stream past
+it; only links that join two components come out. If the sets of a signature still are in several
+components and have several hubs, all of them are compared in the same way with the leading one of their
+group, and through it with each other. All comparisons are exact and of whole texts. They are dealt out
+by (set compared with, salt), so that a large group is the work of many tasks.
 
 Defined results: a null or empty text has no n-grams and is its own component; a text with fewer than n
-words has its whole sequence as the only element; a document's id must not be null (such rows come
-back without a component); repeated rows are linked to each other; ties on the threshold are linked.
+words has its whole sequence as the only element; a row with a null id links nothing and comes back
+without a component; repeated rows, and rows of one id with different texts, are rows of their own, linked
+as their texts are; ties on the threshold are linked; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -36,11 +38,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.memo import memo
-from strandlake.llm.common import append_columns, as_bytes, bounded_batches, materialize, sliced
+from strandlake.llm.common import append_columns, as_bytes, bounded_batches, frugal, give_back, materialize, sliced
 from strandlake.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,10 +52,12 @@ WORDS_KEPT = 200_000
 UNSELECTIVE = 0.5
 #: Members that one task compares with a copy of the same document, at least, before the group is salted.
 PER_SALT = 500
-#: Members in a block of the index of differences, and members that one task streams past a block.
-BLOCK_MEMBERS, PROBES = 1_000, 10_000
-#: Bits of the filter of candidate ids; it is broadcast, so it has a fixed size.
-FILTER_BITS = 21
+#: Elements in a block of the index of differences, and elements that one task streams past a block.
+BLOCK_ELEMENTS, PROBE_ELEMENTS = 1_000_000, 8_000_000
+#: Digests that a task remembers to have emitted.
+DIGESTS_KEPT = 200_000
+#: Bits of the filters of rows that may be candidates, and of shared signatures; they are broadcast, so they have fixed sizes. A full one only filters less.
+FILTER_BITS, SHARED_BITS = 21, 25
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -168,34 +173,46 @@ def _signed(h: np.ndarray) -> list[int]:
 
 
 def emitted(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, digest, sigs): the digest names the set; it is null for the empty set."""
+    """(doc_id, text_hash, n_shingles, digest, sigs): the digest names the set; it is null for the empty set.
+
+    Of equal sets that a task meets, the first one has the signatures (in a task with very many sets, also later ones).
+    """
 
     def start():
         from xxhash import xxh3_64_intdigest as digest
 
-        shingles = Shingler(n)
+        shingles, met = Shingler(n), set()
 
         def work(columns):
-            sets = [shingles(t) for t in columns[0]]
-            names = [np.uint64(digest(h.tobytes(), seed=len(h))).view(np.int64).item() if len(h) else None for h in sets]
-            return [list(map(len, sets)), names, [_signed(signatures(h, percent)) if len(h) else [] for h in sets]]
+            sizes, names, sigs = [], [], []
+            for t in columns[0]:
+                h = shingles(t)
+                name = np.uint64(digest(h.tobytes(), seed=len(h))).view(np.int64).item() if len(h) else None
+                sizes.append(len(h))
+                names.append(name)
+                sigs.append([] if name is None or name in met else _signed(signatures(h, percent)))
+                if len(met) >= DIGESTS_KEPT:
+                    met.clear()
+                met.add(name)
+            return [sizes, names, sigs]
 
         return work
 
-    return append_columns(docs, [text], [("n_shingles", "bigint"), ("digest", "bigint"), ("sigs", "array<bigint>")], start, keep=["doc_id"], binary=True)
+    fields = [("n_shingles", "bigint"), ("digest", "bigint"), ("sigs", "array<bigint>")]
+    return append_columns(docs.withColumn("text_hash", F.xxhash64(text)), [text], fields, start, keep=["doc_id", "text_hash"], binary=True)
 
 
 def _streamed(pairs: DataFrame, texts: DataFrame, n: int) -> tuple[DataFrame, object]:
     """Rows (u, salt, v, text), u's own text first with a null v, and a generator of (u, v, u's set, v's set) from them."""
     count = pairs.groupBy("u").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
-    members = pairs.join(count, "u").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), "v")
-    members = members.join(texts, members.v == texts.doc_id).select("u", "salt", "v", "text")
-    hubs = count.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    hubs = hubs.join(texts, hubs.u == texts.doc_id).select("u", "salt", F.lit(None).cast("bigint").alias("v"), "text")
-    rows = members.unionByName(hubs).repartition("u", "salt").sortWithinPartitions("u", "salt", F.asc_nulls_first("v"))
+    members = pairs.join(count, "u").select("u", F.pmod(F.xxhash64("v"), F.col("salts")).cast("int").alias("salt"), "v", F.col("v").alias("of"))
+    hubs = count.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("v"), F.col("u").alias("of"))
+    both = members.unionByName(hubs)
+    rows = both.join(texts, both.of == texts.node).select("u", "salt", "v", "text").repartition("u", "salt").sortWithinPartitions("u", "salt", F.asc_nulls_first("v"))
     bounded_batches(pairs.sparkSession)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        frugal()
         shingles, hub = Shingler(n), np.zeros(0, np.uint64)
         for part in sliced(batches):
             out = []
@@ -206,6 +223,8 @@ def _streamed(pairs: DataFrame, texts: DataFrame, n: int) -> tuple[DataFrame, ob
                 else:
                     out.append((u, v, hub, h))
             yield out
+        shingles = hub = out = None
+        give_back()
 
     return rows, compared
 
@@ -228,19 +247,16 @@ def linked(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
 
 
 def differences(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(u, v, link, size, diff): whether they are linked, v's size, and the elements that one of them has alone."""
+    """(u, v, link, n): whether they are linked, and how many elements one of them has alone."""
     rows, compared = _streamed(pairs, texts, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in compared(batches):
-            apart = [np.setxor1d(a, b, assume_unique=True) for _, _, a, b in part]
-            link = [_linked(len(d), len(a) + len(b), percent) for d, (_, _, a, b) in zip(apart, part, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array(link, pa.bool_()), pa.array([len(x[3]) for x in part], pa.int64()), pa.array([d.tobytes() for d in apart], pa.binary())],
-                names=["u", "v", "link", "size", "diff"],
-            )
+            apart = [len(a) + len(b) - 2 * len(np.intersect1d(a, b, assume_unique=True)) for _, _, a, b in part]
+            link = [_linked(d, len(a) + len(b), percent) for d, (_, _, a, b) in zip(apart, part, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.int64()), pa.array([x[1] for x in part], pa.int64()), pa.array(link, pa.bool_()), pa.array(apart, pa.int64())], names=["u", "v", "link", "n"])
 
-    return rows.mapInArrow(run, "u bigint, v bigint, link boolean, size bigint, diff binary")
+    return rows.mapInArrow(run, "u bigint, v bigint, link boolean, n bigint")
 
 
 class Block:
@@ -285,111 +301,187 @@ class Block:
         return found
 
 
-def within_hubs(compared: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) among the members of one hub of which one or both aren't linked to the hub, from ``differences``."""
-    count = compared.groupBy("u").agg(F.count("*").alias("n"), F.sum(F.when(F.col("link"), 0).otherwise(1)).alias("apart")).where("n > 1 AND apart > 0")
-    count = count.select("u", F.ceil(F.col("apart") / BLOCK_MEMBERS).cast("int").alias("blocks"), F.ceil(F.col("n") / PROBES).cast("int").alias("salts"))
+def within_hubs(compared: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (u, v) among the members of one hub of which one or both aren't linked to the hub, from ``differences``.
+
+    Texts are moved, not differences, which are several times larger.
+    """
+    held_n, all_n = F.sum(F.when(F.col("link"), 0).otherwise(F.col("n"))), F.sum("n")
+    count = compared.groupBy("u").agg(F.count("*").alias("m"), held_n.alias("held"), all_n.alias("all")).where("m > 1 AND held > 0")
+    count = materialize(count.select("u", F.ceil((F.col("held") + 1) / BLOCK_ELEMENTS).cast("int").alias("blocks"), F.ceil((F.col("all") + 1) / PROBE_ELEMENTS).cast("int").alias("salts")))
     rows = compared.join(count, "u")
-    span = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    block, salt = (F.explode(F.sequence(F.lit(0), F.col(c) - 1)) for c in ("blocks", "salts"))
     place = lambda c: F.pmod(F.xxhash64("v"), F.col(c)).cast("int")
-    held = rows.where("NOT link").withColumn("block", place("blocks")).withColumn("salt", F.explode(span("salts"))).withColumn("kind", F.lit(0))
-    passed = rows.withColumn("salt", place("salts")).withColumn("block", F.explode(span("blocks"))).withColumn("kind", F.lit(1))
-    names = ["u", "block", "salt", "kind", "v", "size", "link", "diff"]
-    both = held.select(*names).unionByName(passed.select(*names)).repartition("u", "block", "salt").sortWithinPartitions("u", "block", "salt", "kind", "v")
+    dealt, names = ["u", "block", "salt"], ["kind", "v", "link", "probe"]
+    hubs = count.withColumn("block", block).withColumn("salt", salt).withColumn("kind", F.lit(0)).withColumn("v", F.col("u")).withColumns({"link": F.lit(True), "probe": F.lit(False)})
+    held = rows.where("NOT link").withColumn("block", place("blocks")).withColumn("salt", salt).withColumn("kind", F.lit(1)).withColumn("probe", F.col("salt") == place("salts"))
+    passed = rows.withColumn("salt", place("salts")).withColumn("block", block).where(F.col("link") | (F.col("block") != place("blocks"))).withColumn("kind", F.lit(2)).withColumn("probe", F.lit(True))
+    visits = hubs.select(*dealt, *names).unionByName(held.select(*dealt, *names)).unionByName(passed.select(*dealt, *names))
+    both = visits.join(texts, visits.v == texts.node).select(*dealt, *names, "text").repartition(*dealt).sortWithinPartitions(*dealt, "kind", "v")
+    bounded_batches(compared.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, members, block = None, [], None
+        frugal()
+        shingles, hub, members, block = Shingler(n), None, [], None
+
+        def filled() -> list[tuple[int, int]]:
+            """Links among the block's own members, when all of them are there."""
+            nonlocal members, block
+            block, first = Block([m[:3] for m in members], percent), [m for m in members if m[3]]
+            members = []
+            return [x for v, size, d, _ in first for x in block.probe(v, size, d, None)]
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
         for part in sliced(batches):
             found = []
-            for u, b, salt, kind, v, size, link, diff in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if (u, b, salt) != here:
-                    here, members, block = (u, b, salt), [], None
-                d = np.frombuffer(diff, np.uint64)
+            for u, kind, v, link, probe, t in zip(*(part.column(k).to_pylist() for k in (0, 3, 4, 5, 6)), as_bytes(part.column(7)), strict=True):
+                h = shingles(t)
                 if kind == 0:
-                    members.append((v, size, d))
+                    if members:
+                        found += filled()
+                    hub, members, block = h, [], None
+                    continue
+                d = np.setxor1d(hub, h, assume_unique=True)
+                if kind == 1:
+                    members.append((v, len(h), d, probe))
                     continue
                 if block is None:
-                    block, members = Block(members, percent), []
-                found += block.probe(v, size, d, u if link else None)
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["u", "v"])
+                    found += filled()
+                found += block.probe(v, len(h), d, u if link else None)
+            yield batch_of(found)
+        if members:
+            yield batch_of(filled())
+        shingles = hub = members = block = None
+        give_back()
 
     return both.mapInArrow(run, "u bigint, v bigint")
 
 
-def _with_component(members: DataFrame, parts: DataFrame) -> DataFrame:
-    found = members.drop("component").join(parts, members.doc_id == parts.node, "left")
-    return found.withColumn("component", F.coalesce("component", "doc_id")).drop("node")
-
-
 def _possible(u: str, v: str, percent: int):
     """Whether two sizes allow a link."""
     return F.expr(f"100 * least({u}, {v}) >= {percent} * greatest({u}, {v})")
 
 
-def similarity_components(docs: DataFrame, text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
-    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    made = emitted(named, "text", n, percent)
-    # one shuffle of all signatures; a document's digest is one more, flagged, that also carries its size
-    rows = made.select("doc_id", "n_shingles", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("own"), F.coalesce("digest", F.col("doc_id")).alias("sig"))), F.transform("sigs", lambda s: F.struct(F.lit(False).alias("own"), s.alias("sig"))))).alias("s"))
-    rows = rows.select("doc_id", "n_shingles", "s.own", "s.sig", F.expr("IF(n_shingles = 0, doc_id, -1)").alias("lone"))
-    group = Window.partitionBy("sig", "own", "lone").orderBy("doc_id")
-    shared = rows.withColumn("hub", F.first("doc_id").over(group.rowsBetween(Window.unboundedPreceding, 0))).withColumn("next", F.lead("doc_id").over(group))
-    shared = materialize(shared.where("own OR hub < doc_id OR next > doc_id").select("doc_id", "n_shingles", "own", "sig", "hub"))
-    own = shared.where("own").select("doc_id", "n_shingles", F.col("hub").alias("same"))
-    firsts = own.where("same = doc_id").select("doc_id").distinct()
-    members = shared.where("NOT own").select("sig", "doc_id", "n_shingles").distinct().join(firsts, "doc_id", "left_semi")
-    parts = _link_members(members, named, n, percent)
-    found = own.join(parts, own.same == parts.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "same").alias("component_id"))
-    lost = docs.where("doc_id IS NULL").select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    lost = emitted(lost, "text", n, percent).select("doc_id", "n_shingles", F.lit(None).cast("bigint").alias("component_id"))
-    return found.unionByName(lost)
-
-
-def _link_members(members: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of the documents that are linked to others, from their shared signatures."""
-    spark = members.sparkSession
-    # how many signatures a document shares: many if others derive from it
-    each = Window.partitionBy("doc_id")
-    count = Window.partitionBy("sig")
-    members = materialize(members.withColumn("n", F.count("*").over(count)).where("n > 1").withColumn("pop", F.sum("n").over(each)).drop("n"))
-    ids = members.select("doc_id").distinct()
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS)).cast("int")
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[ids.select(slot("doc_id").alias("s")).distinct().toArrow().column(0).to_numpy()] = True
-    kept = spark.sparkContext.broadcast(np.packbits(bits))
+def _components_of(docs: DataFrame, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``emitted`` rows of all documents, and (node, first, component) of the sets; first is the row (doc_id, text_hash) that stands for a set."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    made = materialize(emitted(rows, "text", n, percent))
+    named = made.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    sets = named.groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("size"))
+    parts = _linked_sets(named, sets.select("node", "first.doc_id", "first.text_hash", "size"), rows, n, percent)
+    return made, sets.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
 
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(kept.value).astype(bool)
-        for part in batches:
-            yield part.select(["doc_id", "text"]).filter(pa.array(wanted[part.column(2).to_numpy()]))
 
-    bounded_batches(spark)
-    texts = named.withColumn("_slot", slot("doc_id")).mapInArrow(only, "doc_id bigint, text string").join(ids, "doc_id", "left_semi")
-    texts = materialize(texts.dropDuplicates(["doc_id"]))
-    # a document's hub: of those that it shares a signature with and that rank higher, the highest
-    high, low = F.col("rank"), F.struct(F.col("pop"), (-F.col("doc_id")).alias("minus"))
-    by_sig = Window.partitionBy("sig").orderBy(F.desc("pop"), "doc_id")
-    lead = by_sig.rowsBetween(Window.unboundedPreceding, 0)
-    led = members.select("sig", "doc_id", "n_shingles", "pop", low.alias("rank"))
-    led = led.withColumns({"u": F.first("doc_id").over(lead), "u_rank": F.first(high).over(lead), "u_size": F.first("n_shingles").over(lead)})
-    led = led.where(F.col("u") != F.col("doc_id")).where(_possible("u_size", "n_shingles", percent))
-    hubs = materialize(led.groupBy("doc_id").agg(F.max("u_rank").alias("r")).select("doc_id", (-F.col("r.minus")).alias("hub")))
-    compared = materialize(differences(hubs.select(F.col("hub").alias("u"), F.col("doc_id").alias("v")), texts, n, percent))
-    links = materialize(compared.where("link").select("u", "v").unionByName(within_hubs(compared, percent)))
+def similarity_components(docs: DataFrame, text: str = "text", n: int = 4, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs``."""
+    made, sets = _components_of(docs, text, n, percent)
+    least = sets.groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    names = sets.join(least, "component").select("node", "component_id")
+    found = made.where("doc_id IS NOT NULL").join(names, made.digest == names.node).select("doc_id", "n_shingles", "component_id")
+    alone = made.where("doc_id IS NULL OR digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone)
+
+
+def distinct_documents(docs: DataFrame, text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of linked ones: the least (doc_id, hash of the text). Rows without an id stay.
+
+    Rows without n-grams are linked with nothing; of such, and of any others, with equal ids and texts one stays.
+    """
+    made, sets = _components_of(docs, text, n, percent)
+    keys = made.where("doc_id IS NOT NULL").select("doc_id", "text_hash", "digest")
+    least = sets.groupBy("component").agg(F.min("first").alias("keeper"))
+    keepers = sets.join(least, "component").select("node", "keeper")
+    judged = keys.groupBy("doc_id", "text_hash", "digest").agg(F.count("*").alias("copies"))
+    judged = judged.join(keepers, judged.digest == keepers.node, "left").select("doc_id", "text_hash", "copies", F.coalesce(F.struct("doc_id", "text_hash") != F.col("keeper"), F.lit(False)).alias("gone"))
+    # written, so that their sizes are known: few such rows are joined without a shuffle of the texts
+    judged = judged.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    gone, twice = materialize(judged.where("gone").select("_id", "_hash")), materialize(judged.where("NOT gone AND copies > 1").select("_id", "_hash"))
+    tagged = docs.withColumns({"_id": F.col("doc_id").cast("bigint"), "_hash": F.xxhash64(text)})
+    once = tagged.join(twice, ["_id", "_hash"], "left_anti").join(gone, ["_id", "_hash"], "left_anti")
+    first = tagged.join(twice, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return once.unionByName(first).select(*docs.columns)
+
+
+def _linked_sets(named: DataFrame, sets: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of the sets that are linked to others, from their shared signatures."""
+    spark = named.sparkSession
+    signed = named.select(F.explode("sigs").alias("sig"), F.col("digest").alias("node"))
+    shared = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("sig", "n")
+    shared = materialize(shared)
+    members = materialize(_may_be_shared(named.select("sigs", F.col("digest").alias("node"), F.col("n_shingles").alias("size")), shared).join(shared, "sig").distinct())
+    # how many signatures a set shares: many if others derive from it
+    pop = members.groupBy("node").agg(F.sum("n").alias("pop"))
+    members = materialize(members.drop("n").join(pop, "node"))
+    texts = materialize(_texts(members.select("node").distinct().join(sets, "node"), rows, spark))
+    # a set's hub: of those that it shares a signature with and that rank higher, the highest
+    rank = F.struct(F.col("pop"), (-F.col("node")).alias("minus"), F.col("size"))
+    leads = members.groupBy("sig").agg(F.max(rank).alias("r")).select("sig", (-F.col("r.minus")).alias("u"), F.col("r.pop").alias("u_pop"), F.col("r.size").alias("u_size"))
+    led = members.join(leads, "sig").where("u <> node").where(_possible("u_size", "size", percent))
+    hubs = materialize(led.groupBy("node").agg(F.max(F.struct("u_pop", (-F.col("u")).alias("minus"))).alias("r")).select("node", (-F.col("r.minus")).alias("hub")))
+    compared = materialize(differences(hubs.select(F.col("hub").alias("u"), F.col("node").alias("v")), texts, n, percent))
+    links = materialize(compared.where("link").select("u", "v").unionByName(within_hubs(compared, texts, n, percent)))
     parts = materialize(components(links))
     # what is left: groups of one signature with several components and several hubs; all members of such a
     # group are compared with its leading one, and through it with each other
-    members = _with_component(members.join(hubs, "doc_id", "left").withColumn("hub", F.coalesce("hub", "doc_id")), parts)
-    left = members.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("hub").alias("h0"), F.max("hub").alias("h1")).where("c0 < c1 AND h0 < h1").select("sig")
-    members = members.join(left, "sig", "left_semi").withColumns({"u": F.first("doc_id").over(lead), "u_size": F.first("n_shingles").over(lead)})
-    pairs = materialize(members.where("u <> doc_id").select("u", F.col("doc_id").alias("v"), "u_size", F.col("n_shingles").alias("v_size")).distinct())
+    owned = members.join(hubs, "node", "left").join(parts, "node", "left").select("sig", "node", F.coalesce("hub", "node").alias("hub"), F.coalesce("component", "node").alias("component"))
+    left = owned.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("hub").alias("h0"), F.max("hub").alias("h1")).where("c0 < c1 AND h0 < h1").select("sig")
+    pairs = members.join(left, "sig", "left_semi").join(leads, "sig").where("u <> node")
+    pairs = materialize(pairs.select("u", F.col("node").alias("v"), "u_size", F.col("size").alias("v_size")).distinct())
     if not pairs.take(1):
         return parts
     alone = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n = 1").select("u")
     done = compared.select("u", "v")
     single = pairs.join(alone, "u", "left_semi").where(_possible("u_size", "v_size", percent)).select("u", "v").join(done, ["u", "v"], "left_anti")
     several = materialize(pairs.join(alone, "u", "left_anti").select("u", "v"))
-    again = materialize(differences(several.join(done, ["u", "v"], "left_anti"), texts, n, percent).unionByName(compared.join(several, ["u", "v"], "left_semi")))
-    links = links.unionByName(linked(single, texts, n, percent)).unionByName(again.where("link").select("u", "v")).unionByName(within_hubs(again, percent))
+    again = differences(several.join(done, ["u", "v"], "left_anti"), texts, n, percent)
+    again = materialize(again.unionByName(compared.join(several, ["u", "v"], "left_semi").select(*again.columns)))
+    links = links.unionByName(linked(single, texts, n, percent)).unionByName(again.where("link").select("u", "v")).unionByName(within_hubs(again, texts, n, percent))
     return materialize(components(links))
+
+
+def _may_be_shared(named: DataFrame, shared: DataFrame) -> DataFrame:
+    """(sig, a, b) of all shared signatures, and some others, of rows (sigs, a, b); by a bitmap of the shared ones."""
+    slot, spark = F.pmod("sig", F.lit(1 << SHARED_BITS)), named.sparkSession
+    _, a, b = named.columns
+    wide = 8 * 4096  # bits of one of Spark's bitmaps
+    parts = shared.select(slot.alias("s")).groupBy(F.floor(F.col("s") / wide).alias("k")).agg(F.bitmap_construct_agg((F.col("s") % wide).cast("long")).alias("bits")).collect()
+    bits = np.zeros((1 << SHARED_BITS) // 8, np.uint8)
+    for row in parts:
+        bits[row.k * 4096 : (row.k + 1) * 4096] = np.frombuffer(bytes(row.bits), np.uint8)
+    kept = spark.sparkContext.broadcast(bits)
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        held = kept.value
+        for part in batches:
+            sig, of = pc.list_flatten(part.column(0)), pc.list_parent_indices(part.column(0))
+            at = sig.to_numpy(zero_copy_only=False) & ((1 << SHARED_BITS) - 1)
+            hit = pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+            of = of.filter(hit)
+            yield pa.RecordBatch.from_arrays([sig.filter(hit), part.column(1).take(of), part.column(2).take(of)], names=["sig", a, b])
+        give_back()
+
+    bounded_batches(spark)
+    return named.mapInArrow(only, f"sig bigint, {a} bigint, {b} bigint")
+
+
+def _texts(wanted: DataFrame, rows: DataFrame, spark) -> DataFrame:
+    """(node, text) of the wanted sets (node, doc_id, text_hash); a bitmap of fixed size passes over most other rows before the join."""
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(1 << FILTER_BITS)).cast("int")
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[wanted.select(slot.alias("s")).distinct().toArrow().column(0).to_numpy()] = True
+    kept = spark.sparkContext.broadcast(np.packbits(bits))
+
+    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        held = np.unpackbits(kept.value).astype(bool)
+        for part in batches:
+            yield part.select(["doc_id", "text_hash", "text"]).filter(pa.array(held[part.column(3).to_numpy()]))
+        give_back()
+
+    bounded_batches(spark)
+    hashed = rows.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text", slot.alias("slot"))
+    passed = hashed.mapInArrow(only, "doc_id bigint, text_hash bigint, text string")
+    return passed.join(wanted.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])

@@ -74,6 +74,46 @@ def test_repeated_rows_nulls_and_empty_table(spark):
     assert J.similarity_components(docs.limit(0)).count() == 0
 
 
+def test_rows_of_one_id(spark):
+    a, b = "one two three four five six seven", "red green blue white black grey pink"
+    rows = [(1, a, "x"), (1, b, "y"), (1, b, "z"), (2, a, "x"), (3, None, "x"), (3, None, "x"), (3, "", "x"), (None, a, "n"), (None, a, "n"), (4, b + " extra", "w")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, digest string")
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in J.similarity_components(docs, n=4, percent=80).collect())
+    assert found == [(0, 4, 0), (0, 4, 0), (1, 4, 1), (1, 4, 1), (1, 4, 1), (2, 4, 1), (3, 0, 3), (3, 0, 3), (3, 0, 3), (4, 5, 1)]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in J.distinct_documents(docs, n=4, percent=80).collect())
+    assert kept == [(0, a), (0, a), (1, a), (1, b), (3, ""), (3, "")]
+    assert J.distinct_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [40, 1 << 20])
+def test_members_of_a_hub_in_blocks(spark, monkeypatch, block):
+    """Links among members that aren't linked to their hub, whatever the blocks."""
+    monkeypatch.setattr(J, "BLOCK_ELEMENTS", block)
+    monkeypatch.setattr(J, "PROBE_ELEMENTS", 4 * block)
+    r = random.Random(5)
+    elements = list(range(1, 400))
+    sets = {0: set(r.sample(elements, 100))}
+    for k in range(1, 80):
+        of = sets[r.randrange(k)] if k % 3 else sets[0]
+        size = r.choice([3, 8, 15, 25])
+        sets[k] = (of - set(r.sample(sorted(of), min(size, len(of) - 1)))) | set(r.sample(elements, r.choice([0, 4, size])))
+    linked = lambda a, b: 100 * len(a & b) >= 80 * len(a | b)
+    rows = [(0, k, linked(sets[0], s), len(sets[0] ^ s)) for k, s in sets.items() if k]
+    texts = spark.createDataFrame([(k, " ".join(map(str, sorted(s)))) for k, s in sets.items()], "node bigint, text string")
+    found = {frozenset(x) for x in J.within_hubs(spark.createDataFrame(rows, "u bigint, v bigint, link boolean, n bigint"), texts, 1, 80).collect()}
+    true = {frozenset((a, b)) for a in sets for b in sets if 0 < a < b and linked(sets[a], sets[b])}
+    hub = {frozenset((0, k)) for k in sets if k and linked(sets[0], sets[k])}
+
+    def parts(edges):
+        at = {k: k for k in sets}
+        for _ in sets:
+            for a, b in map(tuple, edges):
+                at[a] = at[b] = min(at[a], at[b])
+        return at
+
+    assert found <= true and parts(found | hub) == parts(true | hub)
+
+
 @pytest.mark.parametrize("percent", [80, 85, 95])
 def test_linked_sets_share_a_signature(percent):
     rng = np.random.default_rng(7)
