@@ -158,6 +158,94 @@ def test_lm_base_and_mixing(spark):
     assert gain > 0  # the grammar's contexts tell more than single words
 
 
+def test_lm_rows_without_or_of_one_id(spark):
+    training = spark.createDataFrame([("aa bb cc aa rare1 rare2",)] * 3 + [("aa bb", )], "text string")
+    texts = ["aa rare1 new1", "bb rare2", None, "aa rare1 new1"]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (9, texts[2]), (9, texts[3]), (9, texts[1])], "doc_id bigint, text string")
+    tokens = Counter(w for t in ["aa bb cc aa rare1 rare2"] * 3 + ["aa bb"] for w in [*t.split(), ""])
+    total, distinct = sum(tokens.values()), len(tokens)
+    base = lambda t: sum(math.log10((tokens[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in [*(t or "").split(), ""])
+    rows = sorted(((x.doc_id or 0, round(x.base_score, 8), x.n_known) for x in lm.score(docs, training).collect()))
+    assert rows == sorted((i, round(base(t), 8), sum(tokens[w] > 0 for w in [*(t or "").split(), ""])) for i, t in [(0, texts[0]), (0, texts[1]), (9, texts[2]), (9, texts[3]), (9, texts[1])])
+    assert lm.score(docs.limit(0), training).count() == 0 and lm.score(docs, training.limit(0)).where("train_tokens = 0 AND score < 0").count() == 5
+
+
+def test_lm_score_equals_a_plain_mixer(spark):
+    """The score of every text, bit by bit, from plain counts in dictionaries."""
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(12)] + ["xy", "zzz"]
+    texts = [" ".join(r.choice(words[: 3 + i % 12]) for _ in range(r.randint(1, 90))) for i in range(60)] + ["", "qu w1 w2", "w1 once"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    training = frame.where("doc_id < 50 OR doc_id = 62")
+    model, _ = lm.fitted(training, "text", lm.VOCABULARY)
+    ids, tables = model.ids(), [Counter(), Counter()]
+    kept = [t for i, t in enumerate(texts) if i < 50 or i == 62]
+
+    def bits(text):
+        """(token, slots of the two contexts, node, bit); contexts that share a slot share its counts."""
+        seq = np.array([ids.get(w.encode(), 1) for w in text.split()] + [0])
+        contexts = lm.word_contexts(seq)
+        for k, x in enumerate(seq):
+            for j in range(model.code.start[x], model.code.start[x + 1]):
+                node = int(model.code.node[j])
+                a, b = (int(lm.slots_of(c[k : k + 1], model.code.hash[node : node + 1], model.bits)[0]) for c in contexts)
+                yield k, a, b, node, int(model.code.bit[j])
+
+    for t in kept:
+        for _, a, b, _, y in bits(t):
+            tables[0][a, y] += 1
+            tables[1][b, y] += 1
+    counts = Counter(w for t in kept for w in t.split())
+    rare = {w: n for w, n in counts.items() if w.encode() not in ids}
+    known, new = sum(rare.values()), sum(n == 1 for n in counts.values()) + 1
+
+    def nats(text):
+        weights, total = {}, 0.0
+        groups = {}
+        for k, a, b, node, y in bits(text):
+            groups.setdefault(0 if k < 16 else 1 if k < 48 else 2 if k < 112 else 3, []).append((a, b, node, y))
+        for n, group in sorted(groups.items()):
+            slopes = {}
+            for a, b, node, y in group:
+                x, level = [float(model.code.logit[node])], []
+                for table, c in zip(tables, (a, b), strict=True):
+                    zero, one = table[c, 0], table[c, 1]
+                    x.append(round((math.log((one + lm.PSEUDO) / (zero + lm.PSEUDO)) + 8) * 1024) / 1024 - 8)
+                    level.append(sum(zero + one > m for m in (0, 2, 15)))
+                gate = level[0] * 4 + level[1]
+                w = weights.setdefault(gate, [float(model.weights[i][gate]) for i in range(3)])
+                z = max(-15, min(15, sum(p * q for p, q in zip(w, x, strict=True))))
+                total += math.log1p(math.exp(-z)) + (0 if y else z)
+                slopes.setdefault(gate, []).append([(y - 1 / (1 + math.exp(-z))) * v for v in x])
+            for gate, many in slopes.items():
+                for i in range(3):
+                    step = sum(s[i] for s in many) * lm.STEP / math.sqrt(len(many))
+                    weights[gate][i] += max(-4 * lm.STEP, min(4 * lm.STEP, step))
+        for w in text.split():
+            if w.encode() not in ids:
+                total -= math.log((rare[w] if w in rare else new) / (known + new))
+                if w not in rare:
+                    total += float(lm.spelt([w.encode()], model.letters, model.byte_weights)[0])
+        return total
+
+    for x in lm.score(frame, training).collect():
+        assert x.score == pytest.approx(-nats(texts[x.doc_id]) / math.log(10), rel=2e-4), x.doc_id
+
+
+def test_spelt_words_are_a_distribution():
+    """All words of two letters and less, each ended, and all longer ones together have the probability 1."""
+    rng = np.random.default_rng(1)
+    letters = [rng.integers(0, 1 << 16, 1 << lm.BYTE_BITS).astype(np.uint16) for _ in lm.ORDERS]
+    weights = rng.random((3, lm.GATES)).astype(np.float32)
+    one = np.exp(-lm.spelt([bytes([b]) for b in range(1, 256)], letters, weights))
+    grams = np.arange(256)  # the first byte after nothing
+    y, slots = lm.gram_bits(grams)
+    high = [t[s] for t, s in zip(letters, slots, strict=True)]
+    _, worth = lm.predicted(sum(weights[k][lm.gate_of(high[-2:])] * lm.LOGITS[c] for k, c in enumerate(high)), y)
+    first = np.exp(-worth.reshape(-1, 8).sum(axis=1))
+    assert first.sum() == pytest.approx(1, rel=1e-4) and (one < first[1:]).all()
+
+
 def test_codes_are_a_distribution():
     code = lm.Code(np.array([5, 1, 9, 3, 2, 2]))
     spaces = [0.5 ** int(code.start[k + 1] - code.start[k]) for k in range(6)]
