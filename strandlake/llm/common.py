@@ -63,11 +63,13 @@ def append_columns(
     keep: list[str] | None = None,
     binary: bool = False,
     rows: int = SLICE_ROWS,
+    arrow: bool = False,
 ) -> DataFrame:
     """``df`` (its ``keep`` columns, all by default) with the columns that a Python function computes.
 
     ``start()`` runs once per task and returns the function from lists of input values (strings, or
-    their UTF-8 bytes if ``binary``) to lists of output values. A column of the same name is replaced.
+    their UTF-8 bytes if ``binary``, or Arrow arrays if ``arrow``) to lists, or arrays, of output values. A
+    column of the same name is replaced.
     """
     bounded_batches(df.sparkSession)
     names = [n for n, _ in fields]
@@ -75,15 +77,15 @@ def append_columns(
     sent = kept + [c for c in inputs if c not in kept]
     made = T._parse_datatype_string(", ".join(f"`{n}` {t}" for n, t in fields))
     schema = T.StructType([df.schema[c] for c in kept] + list(made.fields))
-    arrow = to_arrow_schema(made)
+    types = to_arrow_schema(made)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frugal()
         work = start()
         for part in sliced(batches, rows):
             columns = [part.column(part.schema.get_field_index(c)) for c in inputs]
-            out = work([as_bytes(c) if binary else c.to_pylist() for c in columns])
-            arrays = [part.column(i) for i in range(len(kept))] + [pa.array(v, type=arrow.field(i).type) for i, v in enumerate(out)]
+            out = work(columns if arrow else [as_bytes(c) if binary else c.to_pylist() for c in columns])
+            arrays = [part.column(i) for i in range(len(kept))] + [v.cast(types.field(i).type) if isinstance(v, pa.Array) else pa.array(v, type=types.field(i).type) for i, v in enumerate(out)]
             out = columns = None
             yield pa.RecordBatch.from_arrays(arrays, names=kept + names)
         work = None

@@ -234,6 +234,19 @@ def test_lm_score_equals_a_plain_mixer(spark, monkeypatch):
         assert x.score == pytest.approx(-nats(texts[x.doc_id]) / math.log(10), rel=2e-4), x.doc_id
 
 
+def test_tokens_equal_the_pattern():
+    import pyarrow as pa
+
+    texts = [*TEXTS, " A\x0bB\x0cC\x1cd\x85e\u00a0F Éa  ", "\t\n", *noise(9, 100)]
+    tokens = lm.Tokens(pa.array(texts))
+    words = [[x.lower() if x.isascii() else re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")] for t in texts]
+    assert tokens.size.tolist() == list(map(len, words)) and [tokens.words[k].as_py().decode() for k in tokens.code.tolist()] == [w for x in words for w in x]
+    known = {w.encode(): k + 2 for k, w in enumerate(sorted({w for x in words for w in x})[::2])}
+    ids = tokens.ids(known.get)
+    assert ids.tolist() == [k for x in words for k in [*(known.get(w.encode(), 1) for w in x), 0]]
+    assert [{p["word"].decode(): p["tf"] for p in row} for row in tokens.rare(ids).to_pylist()] == [dict(Counter(w for w in x if w.encode() not in known)) for x in words]
+
+
 def test_spelt_words_are_a_distribution():
     """All words of two letters and less, each ended, and all longer ones together have the probability 1."""
     rng = np.random.default_rng(1)
