@@ -361,9 +361,10 @@ def _(spark, sf_dir):
 
 
 MEANS = ", ".join(f"round(avg({c}), 6) AS avg_{n}" for c, n in (("mc", "mh_counts_case"), ("mn", "mh_counts_control"), ("kc - mc", "c_counts_case"), ("kn - mn", "c_counts_control"), ("fc", "mh_frac_case"), ("fn", "mh_frac_control")))
-ISLANDS = f"""numbered AS (SELECT *, CASE WHEN lag("end") OVER w IS NULL OR lag("end") OVER w + 1000 < start OR sign(fc - fn) <> sign(lag(fc - fn) OVER w) THEN 1 ELSE 0 END AS fresh
-  FROM diffed WHERE p_adjust <= 0.05 AND abs(fc - fn) >= 0.5 WINDOW w AS (PARTITION BY chrom ORDER BY start)), islands AS (SELECT *, sum(fresh) OVER (PARTITION BY chrom ORDER BY start ROWS UNBOUNDED PRECEDING) AS island FROM numbered),
-  merged AS (SELECT chrom, min(start) AS start, max("end") AS "end", {MEANS}, round(avg(fc - fn), 6) AS avg_meth_diff, count(*) AS num_windows FROM islands GROUP BY chrom, island)"""
+ISLANDS = f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY start) AS r FROM diffed WHERE p_adjust <= 0.05 AND abs(fc - fn) >= 0.5),
+  heads AS (SELECT b.chrom, b.r FROM ranked AS b WHERE NOT EXISTS (SELECT 1 FROM ranked AS a WHERE a.chrom = b.chrom AND a.r = b.r - 1 AND b.start - a."end" <= 1000 AND (a.fc > a.fn) = (b.fc > b.fn))),
+  merged AS (SELECT chrom, min(start) AS start, max("end") AS "end", {MEANS}, round(avg(fc - fn), 6) AS avg_meth_diff, count(*) AS num_windows
+    FROM (SELECT w.*, (SELECT max(h.r) FROM heads AS h WHERE h.chrom = w.chrom AND h.r <= w.r) AS head FROM ranked AS w) AS k GROUP BY chrom, head)"""
 
 
 @register("collapse_windows", cte(*FLAGSHIP, ISLANDS) + "SELECT * FROM merged")

@@ -11,18 +11,31 @@ from strandlake.schema import KEY_COLUMNS, require
 AVERAGED = ("_counts_control", "_counts_case", "_frac_control", "_frac_case")
 
 
+#: Stretch of a chromosome that one task merges.
+BLOCK = 1_000_000
+
+
 def collapse_windows(diff: DataFrame, max_distance: int = 1000, sig_cutoff: float = 0.05, min_diff: float = 0.5) -> DataFrame:
-    """Islands of significant windows of one chromosome and sign whose gaps are at most ``max_distance``."""
+    """Islands of significant windows of one chromosome and sign whose gaps are at most ``max_distance``.
+
+    Islands are found within blocks of a chromosome. One that goes on in the next block takes its name, the
+    start of its first window, along over the table of the blocks' edges, which is small.
+    """
     require(diff, "chrom", "start", "end", "meth_diff", "p_adjust")
-    w = Window.partitionBy("chrom").orderBy("start")
     kept = diff.where((F.col("p_adjust") <= sig_cutoff) & (F.abs("meth_diff") >= min_diff))
-    last, sign = F.lag("end").over(w), F.lag("meth_diff").over(w)
-    new = last.isNull() | (last + max_distance < F.col("start")) | (F.signum("meth_diff") != F.signum(sign))
-    kept = kept.withColumn("_new", F.when(new, 1).otherwise(0))
-    kept = kept.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.withColumns({"_sign": F.signum("meth_diff"), "_block": F.floor(F.col("start") / BLOCK)})
+    apart = lambda end, sign, start, own: (end + max_distance < start) | (sign != own)
+    inside, along = Window.partitionBy("chrom", "_block").orderBy("start"), Window.partitionBy("chrom").orderBy("_block")
+    kept = kept.withColumn("_head", F.when(apart(F.lag("end").over(inside), F.lag("_sign").over(inside), F.col("start"), F.col("_sign")), F.col("start")))
+    edges = kept.groupBy("chrom", "_block").agg(F.min("start").alias("start"), F.min_by("_sign", "start").alias("own"), F.max_by(F.struct("end", "_sign"), "start").alias("last"), F.max("_head").alias("head"))
+    before = F.lag("last").over(along)
+    edges = edges.withColumn("opens", F.when(before.isNull() | apart(before["end"], before["_sign"], F.col("start"), F.col("own")), F.col("start")))
+    going = F.last(F.coalesce("head", "opens"), ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    edges = edges.select("chrom", "_block", F.coalesce("opens", going).alias("_first"))
+    found = kept.withColumn("_own", F.last("_head", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))).join(edges, ["chrom", "_block"])
     means = [F.avg(c).alias(f"avg_{c}") for c in diff.columns if c.endswith(AVERAGED)]
-    found = kept.groupBy("chrom", "_island").agg(F.min("start").alias("start"), F.max("end").alias("end"), *means, F.avg("meth_diff").alias("avg_meth_diff"), F.count("*").alias("num_windows"))
-    return found.drop("_island")
+    merged = found.groupBy("chrom", F.coalesce("_own", "_first").alias("_island")).agg(F.min("start").alias("start"), F.max("end").alias("end"), *means, F.avg("meth_diff").alias("avg_meth_diff"), F.count("*").alias("num_windows"))
+    return merged.drop("_island")
 
 
 def classify_reads(reads: DataFrame, key: DataFrame, case: str, control: str, meth_diff_threshold: float = 0.1, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:

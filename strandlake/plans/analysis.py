@@ -29,6 +29,7 @@ def run_analysis(store: ModStore, out_path: str, cases, controls, call_type: str
         raise ValueError(f"unknown call_type {call_type!r}")
     table = f"mod_diff_{call_type}"
     store.calc_diff(cases, controls, call_type, mod_type=mod_type, calc_type=calc_type)
+    # The names of the folder and the files.
     folder = f"{out_path.rstrip('/')}/Mod_Diff_Analysis_Results"
     if call_type == "windows":
         chosen = store.collapse_windows().read("collapsed_windows")

@@ -1,7 +1,8 @@
 """A store of named Parquet tables in one folder, which is also a Spark database.
 
-Tables are written to a staging folder and swapped in by a rename, so that a table can be computed from
-itself and a failed write leaves the old table.
+Tables are written to a staging folder and swapped in by renames, the old one being moved aside first, so
+that a table can be computed from itself; a write that breaks off leaves the old table, at the latest when
+the store is opened again.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ class ModStore:
         self._fs_of, self._path = ingest.files(spark)
         self.fs = self._fs_of(self.path)
         self.fs.mkdirs(self._path(self.path))
+        for old in self.fs.listStatus(self._path(self.path)):  # a write that broke off between its two renames
+            name = old.getPath().getName()
+            if name.startswith(".old-") and not self.exists(name[5:]):
+                self.fs.rename(old.getPath(), self._path(self._at(name[5:])))
         self.database = "mods_" + hashlib.sha256(self.path.encode()).hexdigest()[:12]
         spark.sql(f"CREATE DATABASE IF NOT EXISTS {self.database} LOCATION '{self.path}'")
         for name in self.tables():
@@ -66,8 +71,12 @@ class ModStore:
         else:
             staging = f"{self.path}/.staging-{uuid.uuid4().hex}"
             df.write.parquet(staging)
-            self.fs.delete(self._path(self._at(table)), True)
+            aside = f"{self.path}/.old-{table}"
+            self.fs.delete(self._path(aside), True)
+            if self.exists(table):
+                self.fs.rename(self._path(self._at(table)), self._path(aside))
             self.fs.rename(self._path(staging), self._path(self._at(table)))
+            self.fs.delete(self._path(aside), True)
         self._register(table)
         self.current_table = table
         return self
@@ -204,8 +213,12 @@ class ModStore:
 
 
 def write_csv(df: DataFrame, target: str) -> str:
-    """One CSV file: Spark writes a folder beside it, whose only part is then moved."""
+    """One CSV file, differences by their adjusted p-value and merged windows by place; Spark writes a folder beside it, whose only part is then moved."""
     spark = df.sparkSession
+    if "p_adjust" in df.columns:
+        df = df.orderBy(F.asc_nulls_last("p_adjust"), *[c for c in diff.KEYS if c in df.columns])
+    elif "num_windows" in df.columns:
+        df = df.orderBy("chrom", "start")
     fs_of, path = ingest.files(spark)
     fs, staging = fs_of(target), f"{target}.staging-{uuid.uuid4().hex}"
     df.coalesce(1).write.option("header", True).csv(staging)

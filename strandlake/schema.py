@@ -10,6 +10,7 @@ REGION_COLUMNS = ["chrom", "start", "end", "region_name"]
 KEY_COLUMNS = ["chrom", "start", "end", "avg_mh_frac_control", "avg_mh_frac_case", "avg_meth_diff"]
 
 _NUMBERS = [str(i) for i in range(1, 23)]
+# The default chromosomes.
 #: Bare numbers, and numbers, X, Y and M with either prefix. Bare X, Y, M and contigs aren't in it.
 DEFAULT_CHROMS = _NUMBERS + [f"{prefix}{c}" for prefix in ("chr", "Chr") for c in (*_NUMBERS, "X", "Y", "M")]
 

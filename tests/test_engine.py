@@ -26,24 +26,36 @@ def frame(spark):
     return lambda rows: spark.createDataFrame(rows, CALLS)
 
 
-POSITIONS = [("case1", 100, 10, 7), ("case2", 100, 12, 8), ("ctrl1", 100, 11, 3), ("ctrl2", 100, 9, 4), ("case1", 200, 8, 2), ("case2", 200, 10, 2), ("ctrl1", 200, 12, 6), ("ctrl2", 200, 7, 3)]
+# (sample, start, calls, modified calls) of two sites
+SITES = [("t1", 5000, 14, 9), ("t2", 5000, 6, 5), ("u1", 5000, 9, 2), ("u2", 5000, 13, 4), ("t1", 5400, 7, 1), ("t2", 5400, 16, 3), ("u1", 5400, 10, 6), ("u2", 5400, 5, 2)]
 
 
 @pytest.fixture(scope="module")
 def two_loci(spark):
-    return spark.createDataFrame([(s, "chr1", a, a + 1, n, m) for s, a, n, m in POSITIONS], "sample_name string, chrom string, start bigint, `end` bigint, num_calls bigint, mh_counts bigint")
+    return spark.createDataFrame([(s, "chr1", a, a + 1, n, m) for s, a, n, m in SITES], "sample_name string, chrom string, start bigint, `end` bigint, num_calls bigint, mh_counts bigint")
 
 
-# --- kernels ------------------------------------------------------------------------------------------------
+def by_counting(case, control):
+    """(mid-p, exact p) of two (calls, modified calls), over all ways to draw the case's calls."""
+    (n, a), (m, b) = case, control
+    ways = {x: math.comb(a + b, x) * math.comb(n + m - a - b, n - x) for x in range(n + 1) if 0 <= a + b - x <= m}
+    total = sum(ways.values())
+    right, left = sum(w for x, w in ways.items() if x > a), sum(w for x, w in ways.items() if x < a)
+    return (2 * min(right, left) + ways[a]) / total, sum(w for w in ways.values() if w <= ways[a]) / total
+
+
+POOLED = {start: [tuple(sum(x[k] for x in SITES if x[1] == start and x[0][0] == g) for k in (2, 3)) for g in "tu"] for start in (5000, 5400)}
 
-TABLES = [((7, 3, 3, 7), 0.100954772781, 33052 / 184756), ((8, 2, 4, 6), 0.094784472493, 0.169802333889), ((10, 0, 0, 10), 5.412544112e-06, 1.082508822e-05), ((12, 5, 8, 15), 0.031540550562, 0.053550992594)]
 
+# --- kernels ------------------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize(("table", "mid", "exact"), TABLES)
-def test_exact_tests(table, mid, exact):
+@pytest.mark.parametrize("table", [(9, 4, 2, 11), (5, 5, 6, 4), (13, 0, 1, 9), (20, 7, 11, 16)])
+def test_exact_tests(table):
+    """Modified and other calls of the case, then of the control."""
     a, b, c, d = table
-    assert kernels.mid_p([b], [a + b], [c + d], [b + d])[0] == pytest.approx(mid, rel=1e-9)
-    assert kernels.fisher_exact([b], [a + b], [c + d], [b + d])[0] == pytest.approx(exact, rel=1e-9)
+    mid, exact = by_counting((a + b, a), (c + d, c))
+    assert kernels.mid_p([a], [a + c], [b + d], [a + b])[0] == pytest.approx(mid, rel=1e-9)
+    assert kernels.fisher_exact([a], [a + c], [b + d], [a + b])[0] == pytest.approx(exact, rel=1e-9)
 
 
 def test_empty_case_has_p_one():
@@ -215,22 +227,23 @@ def test_filter_and_sample(frame):
 
 # --- differences -------------------------------------------------------------------------------------------------------
 
-CASES, CONTROLS = ["case1", "case2"], ["ctrl1", "ctrl2"]
+CASES, CONTROLS = ["t1", "t2"], ["u1", "u2"]
 
 
-@pytest.mark.parametrize(("test", "p"), [("fast_fisher", (0.038723126724, 0.128684381187)), ("r_fisher", (0.062261498129, 0.170446785575))])
-def test_two_loci(two_loci, test, p):
+@pytest.mark.parametrize(("test", "kind"), [("fast_fisher", 0), ("r_fisher", 1)])
+def test_two_loci(two_loci, test, kind):
     rows = diff.calc_diff(two_loci, CASES, CONTROLS, "mh", test).orderBy("start").collect()
+    p = [by_counting(*POOLED[r.start])[kind] for r in rows]
     assert [r.p_val for r in rows] == pytest.approx(p, rel=1e-9)
-    assert [r.meth_diff for r in rows] == pytest.approx([0.331818181818, -0.251461988304])
-    assert [r.p_adjust for r in rows] == pytest.approx([min(2 * p[0], p[1]), p[1]])
+    assert [r.meth_diff for r in rows] == pytest.approx([a / n - b / m for (n, a), (m, b) in POOLED.values()])
+    assert [r.p_adjust for r in rows] == pytest.approx([min(2 * min(p), max(p)) if x == min(p) else x for x in p])
     assert {"mh_counts_case", "c_counts_control", "mh_frac_case", "num_calls_control"} <= set(rows[0].asDict())
 
 
 def test_diff_choices_and_errors(spark, two_loci):
     assert diff.chosen_test(CASES, CONTROLS) == "fast_fisher" and diff.chosen_test(range(5), range(5)) == "wilcox"
     w = diff.calc_diff(two_loci, CASES, CONTROLS, "mh", "wilcox").orderBy("start").collect()
-    assert w[0].num_samples_case == 2 and w[0].meth_diff == pytest.approx((0.7 + 8 / 12) / 2 - (3 / 11 + 4 / 9) / 2) and w[0].p_val == pytest.approx(1 / 3)
+    assert w[0].num_samples_case == 2 and w[0].meth_diff == pytest.approx((9 / 14 + 5 / 6) / 2 - (2 / 9 + 4 / 13) / 2) and w[0].p_val == pytest.approx(1 / 3)
     assert 0 < diff.calc_diff(two_loci, CASES, CONTROLS, "mh", "log_reg").first().p_val < 1
     for args, text in ((["nobody"], "case"), (CASES, "no measure"), (CASES, "unknown calc_type")):
         with pytest.raises(ValueError, match=text):
@@ -239,7 +252,7 @@ def test_diff_choices_and_errors(spark, two_loci):
         diff.calc_diff(two_loci, CASES, ["nobody"], "mh", "fast_fisher")
     c = two_loci.withColumnRenamed("mh_counts", "c_counts")
     assert {"c_counts_case", "other_counts_case"} <= set(diff.calc_diff(c, CASES, CONTROLS, "c", "fast_fisher").columns)
-    alone = diff.calc_diff(two_loci.where("sample_name <> 'ctrl1' OR start = 100").where("sample_name <> 'ctrl2' OR start = 100"), CASES, CONTROLS, "mh", "fast_fisher").where("start = 200").first()
+    alone = diff.calc_diff(two_loci.where("sample_name NOT IN ('u1', 'u2') OR start = 5000"), CASES, CONTROLS, "mh", "fast_fisher").where("start = 5400").first()
     assert alone.meth_diff is None and alone.mh_frac_control is None
 
 
@@ -262,6 +275,26 @@ def test_collapse_and_classify(spark):
     assert [(r.start, r.end, r.num_windows) for r in out] == [(1, 150, 2), (300, 399, 1), (1401, 1500, 1), (9000, 9099, 1)]
     assert out[0].avg_meth_diff == pytest.approx(0.7) and out[0].avg_mh_frac_control == pytest.approx(0.1)
     assert collapse.collapse_windows(df, max_distance=1002).count() == 3
+
+
+@pytest.mark.parametrize("block", [1, 70, 400, 1 << 30])
+def test_islands_go_on_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(collapse, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    starts = {c: np.unique(rng.integers(0, 4000, 90)).tolist() for c in "ab"}
+    rows = [(c, s, s + 20, 0.01, float(rng.choice([0.6, 0.7, -0.8], p=[0.6, 0.3, 0.1]))) for c in "ab" for s in starts[c]]
+    want = []
+    for c, s, e, _, d in rows:
+        if want and want[-1][0] == c and s - want[-1][2] <= 30 and (want[-1][4] > 0) == (d > 0):
+            want[-1] = [c, want[-1][1], e, want[-1][3] + 1, d]
+        else:
+            want.append([c, s, e, 1, d])
+    df = spark.createDataFrame(rows, "chrom string, start bigint, `end` bigint, p_adjust double, meth_diff double")
+    got = sorted((r.chrom, r.start, r.end, r.num_windows) for r in collapse.collapse_windows(df, max_distance=30).collect())
+    assert got == sorted(tuple(w[:4]) for w in want)
+
+
+def test_classify(spark):
     reads = spark.createDataFrame([("A", "r1", "c", 10, 20, 0.15), ("A", "r2", "c", 140, 310, 0.75), ("A", "r3", "c", 700, 800, 0.5)], "sample_name string, read_id string, chrom string, first_cpg_pos bigint, last_cpg_pos bigint, mh_frac double")
     key = spark.createDataFrame([("c", 1, 150, 0.1, 0.8, 0.7), ("c", 300, 399, 0.4, 0.0, -0.4)], "chrom string, start bigint, `end` bigint, avg_mh_frac_control double, avg_mh_frac_case double, avg_meth_diff double")
     got = sorted((r.read_id, r.classification) for r in collapse.classify_reads(reads, key, "case", "control").collect())
