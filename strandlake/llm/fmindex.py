@@ -222,13 +222,15 @@ def _scan(docs: DataFrame, items: list[tuple[object, bytes | None]], text: str,
     return append_columns(docs, [text], [("n_words", "bigint"), ("spans", "array<array<bigint>>"), ("items", "array<string>")], start, binary=True, rows=SHARD_DOCUMENTS)
 
 
-def merge_spans(column):
-    """Sorted union of [start, end) spans, as a column expression."""
-    step = lambda done, x: F.when(
-        (F.size(done) > 0) & (F.element_at(done, -1)[1] >= x[0]),
-        F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.array(F.element_at(done, -1)[0], F.greatest(F.element_at(done, -1)[1], x[1])))),
-    ).otherwise(F.concat(done, F.array(x)))
-    return F.aggregate(F.array_sort(column), F.array().cast("array<array<bigint>>"), step)
+def merge_spans(spans: list[list[int]]) -> list[list[int]]:
+    """Sorted union of [start, end) spans."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW, phrase_bytes: int = PHRASE_BYTES) -> DataFrame:
@@ -243,7 +245,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         every = _scan(rows.select("_row", text), fetch(0), text, window).drop(text)
         for k in range(1, parts):
             every = every.unionByName(_scan(rows.select("_row", text), fetch(k), text, window).drop(text).where(F.size("spans") > 0))
-        merged = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), merge_spans(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = every.groupBy("_row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        merged = append_columns(merged, ["spans"], [("spans", "array<array<bigint>>")], lambda: lambda columns: [[merge_spans(x) for x in columns[0]]]).select("_row", "n_words", "spans", "items")
         found = rows.drop("n_words", "spans", "items").join(merged, "_row").drop("_row")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     return found.withColumn("n_hit", hit).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
