@@ -5,8 +5,8 @@ candidates that may overlap: keyed secrets, long mixed tokens, groups of digits,
 addresses. Each candidate has binned features of its format and context. Candidates are counted by
 (features, evidence) over all documents; evidence is a validator or a keyword, which the features do
 not show. The counts are bounded by the product of the bins, and boosted trees are fitted to them on
-the driver. The trees become a column expression; the threshold is the lowest at which the share of
-candidates with evidence is still ``PRECISION``. Selected candidates that overlap no base span, nor an
+the driver. The trees' verdicts on all cells become a literal that a column expression looks up; the
+threshold is the lowest at which the share of candidates with evidence is still ``PRECISION``. Selected candidates that overlap no base span, nor an
 earlier selected one, are added to the base spans.
 
 Positions are code points, ends exclusive. Patterns are written so that each is linear in the text:
@@ -20,6 +20,7 @@ candidate, or without evidence, nothing is added.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -52,22 +53,50 @@ GENERATORS = [
 BINS = {"generator": len(GENERATORS), "size": 8, "digits": 6, "upper": 2, "lower": 2, "mark": 2, "before": 4, "after": 4}
 
 
+#: Entries of the short arrays by which a long one grows.
+GROWTH = 128
+
+
+def grown(entries: str, entry: Callable[[Column], Column]) -> tuple[Column, Callable[[Column, Column], Column], Callable[[Column], Column]]:
+    """An empty array of entries of a type, how to add one, and how to finish.
+
+    Entries are added to a short array, which goes whole to an array of arrays: one long array would be
+    copied at every step.
+    """
+    none = F.struct(F.array().cast(f"array<array<{entries}>>").alias("full"), F.array().cast(f"array<{entries}>").alias("part"))
+
+    def add(done: Column, x: Column) -> Column:
+        one = F.array(entry(x))
+        return F.when(F.size(done["part"]) >= GROWTH, F.struct(F.concat(done["full"], F.array(done["part"])).alias("full"), one.alias("part"))).otherwise(
+            F.struct(done["full"].alias("full"), F.concat(done["part"], one).alias("part"))
+        )
+
+    return none, add, lambda done: F.flatten(F.concat(done["full"], F.array(done["part"])))
+
+
 def matches(text: Column, pattern: str, contains: str) -> Column:
-    """array<struct<start, stop, value>> of the leftmost non-overlapping matches."""
+    """array<struct<start, stop, value, left, after>> of the leftmost non-overlapping matches.
+
+    left: up to 16 characters before the match, back to the beginning of the match before it; after: the next
+    one, if that belongs to no match. They are cut from the text between matches, as a place in a long text
+    is only reached by a walk through it.
+    """
     found = F.when(text.rlike(contains), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    between = F.split(text, pattern, -1)
-    sized = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, v: F.struct(F.length(gap).alias("gap"), F.length(v).alias("n"), v.alias("v")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int,value:string>>").alias("out"))
-    placed = F.aggregate(
-        sized,
-        empty,
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(a["out"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + x["n"]).alias("stop"), x["v"].alias("value")))).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(F.size(found) > 0, placed).otherwise(empty["out"])
+    between, n = F.split(text, pattern, -1), F.size(found)
+    zipped = F.arrays_zip(found.alias("v"), F.slice(between, 1, n).alias("gap"), F.slice(between, 2, n).alias("next"), F.slice(F.concat(F.array(F.lit("")), found), 1, n).alias("prior"))
+    none, add, finished = grown(
+        "struct<start:int,stop:int,value:string,left:string,after:string>",
+        lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["v"].alias("value"), x["left"].alias("left"), x["after"].alias("after")),
+    )
+
+    def step(a: Column, x: Column) -> Column:
+        start = a["at"] + F.length(x["gap"])
+        stop = start + F.length(x["v"])
+        placed = F.struct(start.alias("start"), stop.alias("stop"), x["v"].alias("v"), F.right(F.concat(x["prior"], x["gap"]), F.lit(16)).alias("left"), F.left(x["next"], F.lit(1)).alias("after"))
+        return F.struct(stop.alias("at"), add(a["out"], placed).alias("out"))
+
+    placed = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda a: finished(a["out"]))
+    return F.when(n > 0, placed).otherwise(F.array().cast("array<struct<start:int,stop:int,value:string,left:string,after:string>>"))
 
 
 def digits(value: Column) -> Column:
@@ -118,10 +147,10 @@ def _edge(char: Column) -> Column:
     return F.when(char.rlike("^[A-Za-z]$"), 1).when(char.rlike("^[0-9]$"), 2).when(char.rlike(r"^\S$"), 3).otherwise(0)
 
 
-def _candidate(generator: int, text: Column, x: Column) -> Column:
+def _candidate(generator: int, x: Column) -> Column:
     value, n = x["value"], F.length(x["value"])
     count = lambda chars: F.length(F.regexp_replace(value, f"[^{chars}]", ""))
-    left = F.when(x["start"] > 0, F.substr(text, F.greatest(x["start"] - 15, F.lit(1)), F.least(x["start"], F.lit(16)))).otherwise("")
+    left = x["left"]
     evidence = [
         F.lit(True),
         left.rlike(rf"{KEYWORDS}\W{{0,4}}$") | value.rlike("^(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})$"),
@@ -138,8 +167,8 @@ def _candidate(generator: int, text: Column, x: Column) -> Column:
         (count("A-Z") > 0).cast("int").alias("upper"),
         (count("a-z") > 0).cast("int").alias("lower"),
         value.rlike("[^A-Za-z0-9]").cast("int").alias("mark"),
-        _edge(F.substr(left, F.greatest(F.length(left), F.lit(1)), F.lit(1))).alias("before"),
-        _edge(F.substr(text, x["stop"] + 1, F.lit(1))).alias("after"),
+        _edge(F.right(left, F.lit(1))).alias("before"),
+        _edge(x["after"]).alias("after"),
         evidence.cast("int").alias("evidence"),
     )
 
@@ -147,7 +176,7 @@ def _candidate(generator: int, text: Column, x: Column) -> Column:
 def candidates(docs: DataFrame) -> DataFrame:
     """The rows of ``base_spans`` with ``_candidates``: spans, features and evidence."""
     found = docs.withColumns({f"_g{k}": matches(F.col("_text"), pattern, contains) for k, (_, pattern, contains) in enumerate(GENERATORS)})
-    made = [F.transform(f"_g{k}", partial(_candidate, k, F.col("_text"))) for k in range(len(GENERATORS))]
+    made = [F.transform(f"_g{k}", partial(_candidate, k)) for k in range(len(GENERATORS))]
     return found.withColumn("_candidates", F.concat(*made)).drop(*[f"_g{k}" for k in range(len(GENERATORS))])
 
 
@@ -209,19 +238,44 @@ def fit(found: DataFrame) -> tuple[float, list, float]:
     return boost(x, np.array([c[-2] for c in cells], float), np.array([c[-1] for c in cells], float))
 
 
-def score_of(model: tuple[float, list, float], c: Column) -> Column:
-    names = list(BINS)
+def verdicts(model: tuple[float, list, float]) -> str:
+    """A 1 or 0 for every cell of the features, in the order of ``cell_of``: whether the trees' sum reaches the threshold."""
+    start, trees, threshold = model
+    x = np.stack(np.unravel_index(np.arange(math.prod(BINS.values())), tuple(BINS.values())), axis=1)
+    score = np.full(len(x), start)
+    for tree in trees:
+        score = score + RATE * np.clip(_value(tree, x), -4, 4)
+    return "".join("1" if v else "0" for v in (score >= threshold).tolist())
+
+
+def cell_of(c: Column) -> Column:
+    """The number of a candidate's cell."""
+    at = F.lit(0)
+    for name, n in BINS.items():
+        at = at * n + c[name]
+    return at
 
-    def column(tree) -> Column:
-        if not isinstance(tree, tuple):
-            return F.lit(float(np.clip(tree, -4, 4)) * RATE)
-        f, t, a, b = tree
-        return F.when(c[names[f]] <= t, column(a)).otherwise(column(b))
 
-    total = F.lit(model[0])
-    for tree in model[1]:
-        total = total + column(tree)
-    return total
+SPAN = "struct<start:int,kind:int,stop:int>"
+
+
+def outside(chosen: str, base: str) -> Column:
+    """The chosen spans that overlap no base span and no earlier one of themselves; both sorted. Each pass is linear."""
+    own = lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop"))
+    marked = lambda spans, mine: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(mine).alias("mine"), x["kind"].alias("kind"), x["stop"].alias("stop")))
+    entry = "struct<start:int,mine:boolean,kind:int,stop:int>"
+    both = F.array_sort(F.concat(marked(F.col(base), False), marked(F.col(chosen), True)))
+    whole = lambda x: F.struct(x["start"].alias("start"), x["mine"].alias("mine"), x["kind"].alias("kind"), x["stop"].alias("stop"))
+
+    def swept(spans: Column, kind: str, out: Callable[[Column], Column], first: int, keeps: Callable, moves: Callable) -> Column:
+        none, add, finished = grown(kind, out)
+        step = lambda a, x: F.struct(moves(a["edge"], x).alias("edge"), F.when(keeps(a["edge"], x), add(a["out"], x)).otherwise(a["out"]).alias("out"))
+        return F.aggregate(spans, F.struct(F.lit(first).alias("edge"), none.alias("out")), step, lambda a: finished(a["out"]))
+
+    # from the left: what a base span that begins before it covers; from the right: what one that begins after it cuts
+    left = swept(both, entry, whole, 0, lambda edge, x: ~x["mine"] | (x["start"] >= edge), lambda edge, x: F.when(x["mine"], edge).otherwise(F.greatest(edge, x["stop"])))
+    right = swept(F.reverse(left), SPAN, own, 2**31 - 1, lambda edge, x: x["mine"] & (x["stop"] <= edge), lambda edge, x: F.when(x["mine"], edge).otherwise(x["start"]))
+    return swept(F.reverse(right), SPAN, own, 0, lambda edge, x: x["start"] >= edge, lambda edge, x: F.when(x["start"] >= edge, x["stop"]).otherwise(edge))
 
 
 def joined(spans: str) -> Column:
@@ -237,17 +291,10 @@ def detect(docs: DataFrame, text: str = "text", model: tuple[float, list, float]
     if model is None:
         model = fit(candidates(docs.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))))
     found = candidates(base_spans(docs, text))
-    if math.isinf(model[2]):
-        chosen = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    else:
-        picked = F.filter("_candidates", lambda c: score_of(model, c) >= model[2])
-        chosen = F.array_sort(F.transform(picked, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"))))
-    found = found.withColumn("_chosen", chosen)
-    free = F.filter("_chosen", lambda c: ~F.exists("_base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    apart = F.aggregate(
-        free, F.array().cast("array<struct<start:int,kind:int,stop:int>>"),
-        lambda done, c: F.when((F.size(done) > 0) & (F.element_at(done, -1)["stop"] > c["start"]), done).otherwise(F.concat(done, F.array(c))),
-    )
+    table = F.lit(verdicts(model))
+    picked = F.filter("_candidates", lambda c: F.substr(table, cell_of(c) + 1, F.lit(1)) == "1")
+    found = found.withColumn("_chosen", F.array_sort(F.transform(picked, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop")))))
+    apart = F.when(F.size("_chosen") > 0, outside("_chosen", "_base")).otherwise(F.array().cast(f"array<{SPAN}>"))
     counts = {f"n_{kind}": F.size(F.filter("_base", partial(_is_kind, KINDS.index(kind)))).cast("long") for kind in BASE}
     found = found.withColumn("_spans", F.array_sort(F.concat("_base", apart))).withColumns(counts)
     made = found.withColumns({"base_spans": joined("_base"), "spans": joined("_spans"), "n_spans": F.size("_spans").cast("long")})

@@ -142,6 +142,24 @@ def test_pii_base_equals_brute_force(spark):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
+def test_pii_of_long_texts(spark):
+    """Very many numbers, and chosen spans against a plain sweep."""
+    r = random.Random(8)
+    long = " ".join(str(r.randint(0, 10 ** r.randint(1, 19))) for _ in range(30_000))
+    found = pii.detect(spark.createDataFrame([(1, long)], "doc_id bigint, text string")).collect()
+    assert found[0].base_spans == brute_spans(long)
+    for _ in range(5):
+        spans = lambda n: sorted((a := r.randint(0, 300), r.randint(0, 5), a + r.randint(1, 12)) for _ in range(n))
+        base, chosen = spans(r.choice([0, 5, 200])), spans(r.choice([1, 40, 300]))
+        want, stop = [], 0
+        for a, k, b in chosen:
+            if a >= stop and not any(x < b and a < y for x, _, y in base):
+                want.append((a, k, b))
+                stop = b
+        row = spark.createDataFrame([(base, chosen)], f"base array<{pii.SPAN}>, chosen array<{pii.SPAN}>").select(pii.outside("chosen", "base").alias("x")).first()
+        assert [tuple(x) for x in row.x] == want
+
+
 def test_pii_addresses_with_zero_parts(spark):
     good = ["10.0.0.1", "0.0.0.0", "010.000.0.01", "192.168.0.1", "127.0.0.1", "8.8.8.8", "0255.0249.0199.099"]
     texts = [f"host {x} up" for x in [*good, "0256.0.0.0", "10.0.0.300", "1.0.0", "0.0.0." + "0" * 3000, "0" * 3000 + ".0.0.0256"]]
@@ -297,6 +315,32 @@ def test_html_extraction(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_scan_is_linear():
+    import time
+
+    began = time.time()
+    for page in ("<p " * 350_000, '<p "' * 250_000, '<p ">' * 200_000, "<b>" * 150_000 + "<li></li></x>" * 60_000, "<article>" * 100_000 + "</p>" * 100_000, "<!-- " * 200_000, "<script>" * 120_000):
+        html.blocks_of(page)
+    assert time.time() - began < 30
+    texts = lambda page: [b.text for b in html.blocks_of(page)]
+    assert texts('a<p title="x>y">b<i>c</i>d</p>e <br/>f') == ["a", "bcd", "e f"]
+    assert texts("1 < 2 <p>x</p><? pi ?><!doctype x>y<") == ["1 < 2", "x", "y<"] and texts("<p title='it>x</p>") == ["x"]
+    assert texts("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>") == list("abcdefg")
+    assert texts("<textarea><p>no</p></textarea>yes<script>'</p>'</SCRIPT>z") == ["yesz"]
+
+
+def test_html_needs_no_package_on_the_workers():
+    """The functions that tasks run are pickled with all that they refer to."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    code = "import sys, pickle; f = pickle.load(sys.stdin.buffer); print(len(f('<p>a b c d</p>')), 'strandlake' in sys.modules)"
+    got = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(html.blocks_of), capture_output=True, cwd="/")
+    assert got.stdout.split() == [b"1", b"False"], got.stderr.decode()
+
+
 def test_repeated_cover_equals_brute_force():
     rng = np.random.default_rng(2)
     streams = [rng.integers(0, 4, int(rng.integers(0, 40))) for _ in range(12)]
