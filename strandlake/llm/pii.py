@@ -2,19 +2,22 @@
 
 Base spans come from strict patterns and validators. Beside them, high-recall generators propose
 candidates that may overlap: keyed secrets, long mixed tokens, groups of digits, and spelt-out
-addresses. Each candidate has binned features of its format and context. Candidates are counted by
-(features, evidence) over all documents; evidence is a validator or a keyword, which the features do
-not show. The counts are bounded by the product of the bins, and boosted trees are fitted to them on
-the driver. The trees' verdicts on all cells become a literal that a column expression looks up; the
-threshold is the lowest at which the share of candidates with evidence is still ``PRECISION``. Selected candidates that overlap no base span, nor an
-earlier selected one, are added to the base spans.
+addresses. Each candidate has binned features of its format and context; which generator proposed it is
+none. Candidates are counted by (features, evidence) over all documents; evidence is a validator or a
+keyword, which the features do not show. Keyed secrets have a keyword by their pattern, so they have no
+evidence of their own and are only judged, by the format of the value behind the key. The counts are
+bounded by the product of the bins, and boosted trees are fitted to them on the driver, but for those of
+one text in ``FOLDS``, by a hash of the text. On these the threshold is set: the lowest at which the share
+of candidates with evidence is still ``PRECISION``. The trees' verdicts on all cells become a literal that
+a column expression looks up. Selected candidates that overlap no base span, nor an earlier selected one,
+are added to the base spans.
 
 Positions are code points, ends exclusive. Patterns are written so that each is linear in the text:
 runs are matched possessively and only from their beginnings, which changes no match.
 
 Defined results: a null or empty text has no spans; repeated rows get equal spans; equal starts are
 ordered by the kind's place in ``KINDS``; whole texts are searched; other columns stay. Without any
-candidate, or without evidence, nothing is added.
+candidate, or without evidence in both parts, nothing is added.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone", "secret", "number")
 #: Least share of evidence among the candidates from the threshold on.
 PRECISION = 0.9
+#: The threshold is set on one text in so many; the trees are fitted to the others.
+FOLDS = 5
 ROUNDS, DEPTH, RATE = 24, 3, 0.4
 
 # The base patterns, without needless backtracking, and what a text must contain to be searched.
@@ -43,14 +48,16 @@ BASE = {
 }
 # The generators: kind, pattern, what a text must contain.
 KEYWORDS = r"(?i:passwor[dt]|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|bearer)"
+KEY_PART = r"^.*[:=]\s*[\"']?"
 GENERATORS = [
     ("secret", rf"(?<![A-Za-z]){KEYWORDS}[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?[A-Za-z0-9+/_.~-]{{6,}}+", "[:=]"),
-    ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{16,}+", "[0-9]"),
+    ("secret", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])[A-Za-z0-9+/_-]{12,}+", "[0-9]"),
     ("number", r"(?<![0-9A-Za-z+.])[0-9](?:[ ().-]{0,2}[0-9]){6,18}+", "[0-9]"),
     ("email", rf"(?<!{LOCAL}){LOCAL}{{1,64}}+\s?[\[({{]\s?(?i:at|@)\s?[\])}}]\s?{DOMAIN}{{1,63}}+(?:\s?(?:[\[({{]\s?(?i:dot|\.)\s?[\])}}]|\.)\s?{DOMAIN}{{1,63}}+){{1,5}}", r"[\[({]"),
 ]
+SORTS = ("secret", "number", "email")
 #: Bins of each feature, from 0.
-BINS = {"generator": len(GENERATORS), "size": 8, "digits": 6, "upper": 2, "lower": 2, "mark": 2, "before": 4, "after": 4}
+BINS = {"sort": 3, "size": 8, "digits": 6, "upper": 2, "lower": 2, "mark": 2, "before": 4, "after": 4}
 
 
 #: Entries of the short arrays by which a long one grows.
@@ -148,20 +155,22 @@ def _edge(char: Column) -> Column:
 
 
 def _candidate(generator: int, x: Column) -> Column:
-    value, n = x["value"], F.length(x["value"])
+    kind, left, value = GENERATORS[generator][0], x["left"], x["value"]
+    if generator == 0:  # the value behind the key
+        left, value = F.regexp_extract(value, KEY_PART, 0), F.regexp_replace(value, KEY_PART, "")
+    n = F.length(value)
     count = lambda chars: F.length(F.regexp_replace(value, f"[^{chars}]", ""))
-    left = x["left"]
     evidence = [
-        F.lit(True),
+        F.lit(None).cast("boolean"),
         left.rlike(rf"{KEYWORDS}\W{{0,4}}$") | value.rlike("^(?:AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9_-]{20,})$"),
         F.when(F.length(digits(value)).between(14, 19), luhn(digits(value))).otherwise(value.rlike(r"^\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
         value.rlike(r"[A-Za-z]{2,6}$"),
     ][generator]
     return F.struct(
         x["start"].alias("start"),
-        F.lit(KINDS.index(GENERATORS[generator][0])).alias("kind"),
+        F.lit(KINDS.index(kind)).alias("kind"),
         x["stop"].alias("stop"),
-        F.lit(generator).alias("generator"),
+        F.lit(SORTS.index(kind)).alias("sort"),
         F.least((n / 6).cast("int"), F.lit(7)).alias("size"),
         F.least((count("0-9") * 6 / n).cast("int"), F.lit(5)).alias("digits"),
         (count("A-Z") > 0).cast("int").alias("upper"),
@@ -210,9 +219,9 @@ def _value(tree, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, f] <= t, _value(a, x), _value(b, x))
 
 
-def boost(x: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[float, list, float]:
-    """(start, trees, threshold) of logistic boosting on cells with n candidates, of which some have evidence."""
-    if not len(x) or not positive.sum():
+def boost(x: np.ndarray, n: np.ndarray, positive: np.ndarray, held_n: np.ndarray, held_positive: np.ndarray) -> tuple[float, list, float]:
+    """(start, trees, threshold) of logistic boosting on cells with n candidates, of which some have evidence; held ones set the threshold."""
+    if not positive.sum() or not held_positive.sum():
         return 0.0, [], math.inf
     share = min(max(positive.sum() / n.sum(), 1e-4), 1 - 1e-4)
     start = math.log(share / (1 - share))
@@ -222,20 +231,26 @@ def boost(x: np.ndarray, n: np.ndarray, positive: np.ndarray) -> tuple[float, li
         tree = _tree(x, positive - p * n, p * (1 - p) * n, DEPTH)
         trees.append(tree)
         score = score + RATE * np.clip(_value(tree, x), -4, 4)
+    seen = held_n > 0
+    score, held_n, held_positive = score[seen], held_n[seen], held_positive[seen]
     order = np.argsort(-score, kind="stable")
-    good = np.cumsum(positive[order]) >= PRECISION * np.cumsum(n[order])
+    good = np.cumsum(held_positive[order]) >= PRECISION * np.cumsum(held_n[order])
     last = np.append(score[order][1:] < score[order][:-1] - 1e-12, True)  # whole groups of equal scores only
     fit = np.flatnonzero(good & last)
     return start, trees, float(score[order[fit[-1]]]) - 1e-9 if len(fit) else math.inf
 
 
 def fit(found: DataFrame) -> tuple[float, list, float]:
-    """Boosted trees from the counted cells of all candidates; the cells are bounded by the product of ``BINS``."""
+    """Boosted trees from the counted cells of all candidates that may have evidence; the cells are bounded by the product of ``BINS``."""
     names = list(BINS)
-    cells = found.select(F.explode("_candidates").alias("c")).groupBy(*[F.col(f"c.{f}").alias(f) for f in names]).agg(F.count("*").alias("n"), F.sum("c.evidence").alias("positive")).collect()
-    cells = sorted(tuple(r) for r in cells)
-    x = np.array([c[:-2] for c in cells], np.int64).reshape(len(cells), len(names))
-    return boost(x, np.array([c[-2] for c in cells], float), np.array([c[-1] for c in cells], float))
+    held = F.pmod(F.xxhash64("_text"), F.lit(FOLDS)) == 0
+    judged = found.select(held.alias("held"), "_candidates")  # before the explosion, which would carry the text along
+    judged = judged.select("held", F.explode("_candidates").alias("c")).where("c.evidence IS NOT NULL")
+    part = lambda v, mine, name: F.sum(F.when(F.col("held") == mine, v).otherwise(0)).alias(name)
+    sums = [part(v, mine, f"{name}_{mine}") for mine in (False, True) for v, name in ((F.lit(1), "n"), (F.col("c.evidence"), "positive"))]
+    cells = sorted(tuple(r) for r in judged.groupBy(*[F.col(f"c.{f}").alias(f) for f in names]).agg(*sums).collect())
+    x = np.array([c[: len(names)] for c in cells], np.int64).reshape(len(cells), len(names))
+    return boost(x, *np.array([c[len(names) :] for c in cells], float).reshape(len(cells), 4).T)
 
 
 def verdicts(model: tuple[float, list, float]) -> str:
