@@ -16,6 +16,7 @@ from strandlake.operators import calls as call_ops
 from strandlake.operators import collapse, diff, qc, summarize
 from strandlake.plans import analysis
 from strandlake.plans.store import SUFFIX, ModStore
+from strandlake.schema import KEY_COLUMNS
 from strandlake.sources import ingest, stats
 from strandlake.sources.folders import new_folder, remove_at_exit
 
@@ -118,16 +119,22 @@ def _(spark, sf_dir):
     return ingest.call_filter(raw_calls(spark, sf_dir), chrom=["chr1", "chr3"], flag=16)
 
 
-@register("archive_strand_fold", """SELECT 'S1' AS sample_name, CAST(l_orderkey AS VARCHAR) AS read_id, 'chr1' AS chrom, CASE WHEN strand = '-' AND kmer = 'CG' THEN p - 1 ELSE p END AS start,
+ARCHIVE = """SELECT 'S1' AS sample_name, CAST(l_orderkey AS VARCHAR) AS read_id, 'chr1' AS chrom, CASE WHEN strand = '-' AND kmer = 'CG' THEN p - 1 ELSE p END AS start,
   CASE WHEN strand = '+' AND kmer = 'CG' THEN p + 2 ELSE p + 1 END AS "end", CAST(l_linenumber AS BIGINT) AS read_position, CAST(100 AS BIGINT) AS read_length, kmer AS query_kmer, CAST(0.95 AS DOUBLE) AS call_prob, 'm' AS call_code, 20 AS base_qual, 0 AS flag
-  FROM (SELECT *, l_partkey % 50 AS p, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, CASE WHEN l_suppkey % 3 = 0 THEN 'CA' ELSE 'CG' END AS kmer FROM lineitem) AS x WHERE NOT (strand = '-' AND p = 0)""")
-def _(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
+  FROM (SELECT *, l_partkey % 50 AS p, CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS strand, CASE WHEN l_suppkey % 3 = 0 THEN 'CA' ELSE 'CG' END AS kmer FROM lineitem) AS x WHERE NOT (strand = '-' AND p = 0)"""
+
+
+def modkit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
         "'ab-cd-' || CAST(l_orderkey AS STRING) AS read_id", "'chr1' AS chrom", "CAST(l_linenumber AS BIGINT) AS forward_read_position", "l_partkey % 50 AS ref_position",
         "CASE WHEN l_linenumber % 2 = 0 THEN '-' ELSE '+' END AS ref_mod_strand", "CAST(100 AS BIGINT) AS read_length", "CASE WHEN l_suppkey % 3 = 0 THEN 'CA' ELSE 'CG' END AS query_kmer",
         "CAST(0.95 AS DOUBLE) AS call_prob", "'m' AS call_code", "20 AS base_qual", "0 AS flag",
     )
-    return ingest.archived(rows, "S1")
+
+
+@register("archive_strand_fold", ARCHIVE)
+def _(spark, sf_dir):
+    return ingest.archived(modkit_rows(spark, sf_dir), "S1")
 
 
 FILES = ["/a/S1-0.ch3", "/a/S1-12.CH3", "/b/M1.combined.ch3", "x-1-2.ch3"]
@@ -163,6 +170,15 @@ def _(spark, sf_dir):
     return call_ops.sample_rows(calls(spark, sf_dir), 100, seed=1)
 
 
+@register("sample_rows_members", cte() + "SELECT least(100, count(*)) AS n, least(100, count(*)) AS n_found, CAST(0 AS BIGINT) AS n_excess FROM calls")
+def _(spark, sf_dir):
+    """How many rows a sample has, how many of them the table has, and how many are drawn more often than it has them."""
+    table = calls(spark, sf_dir)
+    drawn = call_ops.sample_rows(table, 100, seed=1).groupBy(table.columns).agg(F.count("*").alias("n"))
+    there = drawn.join(table.groupBy(table.columns).agg(F.count("*").alias("m")), table.columns, "left")
+    return there.agg(F.sum("n").alias("n"), F.sum(F.when(F.col("m").isNotNull(), F.col("n")).otherwise(0)).alias("n_found"), F.sum(F.greatest(F.col("n") - F.coalesce("m", F.lit(0)), F.lit(0))).alias("n_excess"))
+
+
 @register("mod_spec_labels", "SELECT * FROM (VALUES ('m', 'm', 1), ('m + h', 'mh', 2), ('21839', 'm_21839', 1), ('a', 'a', 1)) AS t(spec, label, n_codes)")
 def _(spark, sf_dir):
     parsed = [(s, ModSpec.parse(s)) for s in ("m", "m + h", "21839", "a")]
@@ -329,14 +345,32 @@ def _(spark, sf_dir):
     return diff.calc_diff(summarize.positions(calls(spark, sf_dir)), CASES, CONTROLS, "mh", "r_fisher")
 
 
-@register("diff_log_reg")
+# erfc by the series of positive terms x^(2n+1) / gamma(n + 3/2), which cancels nothing
+ERFC = lambda x: f"CASE WHEN {x} > 8 THEN 0 ELSE 1 - list_sum(list_transform(range(0, 400), lambda n: exp((2 * n + 1) * ln(greatest({x}, 1e-30)) - ({x}) * ({x}) - lgamma(n + 1.5)))) END"
+CELLS = (("mc", "kc", "mc + mn"), ("kc - mc", "kc", "kc - mc + kn - mn"), ("mn", "kn", "mc + mn"), ("kn - mn", "kn", "kc - mc + kn - mn"))
+LR = "greatest(0, " + " + ".join(f"CASE WHEN {c} > 0 THEN 2 * ({c}) * ln(({c}) * CAST(kc + kn AS DOUBLE) / (CAST({r} AS DOUBLE) * ({k}))) ELSE 0 END" for c, r, k in CELLS) + ")"
+LRT = f"CASE WHEN kc = 0 OR kn = 0 THEN 1 ELSE {ERFC(f'sqrt({LR} / 2)')} END"
+
+
+@register("diff_log_reg", cte(pos(), ENDED, _pooled_sql("ended", SITES), _tested_sql(LRT), BH, DIFFED) + _diff_out(SITES))
 def _(spark, sf_dir):
     return diff.calc_diff(summarize.positions(calls(spark, sf_dir)), CASES, CONTROLS, "mh", "log_reg")
 
 
-@register("diff_wilcox")
-def _(spark, sf_dir):
-    return diff.calc_diff(summarize.windows(calls(spark, sf_dir), window_size=1000, step_size=100), CASES, CONTROLS)
+TINY = (("diff_p_magnitude", "fast_fisher", MIDP), ("diff_exact_p_magnitude", "r_fisher", EXACT))
+
+
+def _magnitude(name: str, test: str, p: str) -> None:
+    """The p-values on a logarithmic scale, which tells small ones apart."""
+
+    @register(name, cte(pos(), win(1000, 100), _pooled_sql("win", SITES), _tested_sql(p)) + f"SELECT {SITES}, round(-log10(p_val), 6) AS magnitude FROM tested WHERE p_val > 0")
+    def _(spark, sf_dir):
+        found = diff.calc_diff(summarize.windows(calls(spark, sf_dir), window_size=1000, step_size=100), CASES, CONTROLS, "mh", test)
+        return found.where("p_val > 0").select("chrom", "start", "end", (-F.log10("p_val")).alias("magnitude"))
+
+
+for _tiny in TINY:
+    _magnitude(*_tiny)
 
 
 def _wilcox_effects() -> str:
@@ -352,6 +386,31 @@ def _(spark, sf_dir):
     return diff.calc_diff(summarize.windows(calls(spark, sf_dir), window_size=1000, step_size=100), CASES, CONTROLS, "mh", "wilcox").drop("meth_diff", "p_val", "p_adjust")
 
 
+# Rank sums: all arrangements of the ranks without ties, else the normal approximation with both corrections.
+RANKS = f"""side AS (SELECT {SITES}, CASE WHEN sample_name IN ({names(CASES)}) THEN 1 ELSE 0 END AS g, CAST(mh_counts AS DOUBLE) / num_calls AS v FROM win),
+  rk AS (SELECT *, rank() OVER (PARTITION BY {SITES} ORDER BY v) AS r, count(*) OVER (PARTITION BY {SITES}, v) AS t FROM side),
+  st AS (SELECT {SITES}, CAST(sum(g) AS BIGINT) AS a, CAST(sum(1 - g) AS BIGINT) AS b, sum(g * (r + (t - 1) / 2.0)) - sum(g) * (sum(g) + 1) / 2.0 AS w, max(t) AS most, CAST(sum(t * t - 1) AS DOUBLE) AS tied FROM rk GROUP BY {SITES}),
+  arr AS (SELECT a, b, CAST(list_sum(list_transform(list_filter(range(0, a + b), lambda i: (m >> i) & 1 = 1), lambda i: i + 1)) AS DOUBLE) - a * (a + 1) / 2.0 AS s
+    FROM (SELECT DISTINCT a, b FROM st WHERE most = 1 AND a > 0 AND b > 0) AS d, (SELECT unnest(range(0, 4096)) AS m) AS masks WHERE m < CAST(pow(2, a + b) AS BIGINT) AND bit_count(m) = a),
+  exact AS (SELECT st.chrom, st.start, least(1, 2 * CAST(sum(CASE WHEN (w <= st.a * st.b / 2.0 AND s <= w) OR (w > st.a * st.b / 2.0 AND s >= w) THEN 1 ELSE 0 END) AS DOUBLE) / count(*)) AS p FROM st JOIN arr ON st.a = arr.a AND st.b = arr.b WHERE most = 1 GROUP BY st.chrom, st.start),
+  near AS (SELECT *, sqrt(greatest(0, a * b / 12.0 * (a + b + 1 - tied / ((a + b) * (a + b - 1))))) AS spread, greatest(0, abs(w - a * b / 2.0) - CASE WHEN w = a * b / 2.0 THEN 0 ELSE 0.5 END) AS z FROM st WHERE most > 1 AND a > 0 AND b > 0),
+  normal AS (SELECT chrom, start, CASE WHEN spread > 0 THEN least(1, {ERFC("(z / spread / sqrt(2))")}) END AS p FROM near)"""
+RANKED_BH = BH.replace("count(*) OVER", "count(p_val) OVER").replace("least(1, min(raw)", "CASE WHEN p_val IS NOT NULL THEN least(1, min(raw)").replace("PRECEDING)) AS p_adjust", "PRECEDING)) END AS p_adjust")
+
+
+def _wilcox_sql() -> str:
+    effects, body = _wilcox_effects().removeprefix(cte(pos(), win(1000, 100))), cte(pos(), win(1000, 100), RANKS)
+    tested = "tested AS (SELECT e.*, e.mh_frac_case - e.mh_frac_control AS meth_diff, coalesce(x.p, n.p) AS p_val FROM eff AS e LEFT JOIN exact AS x ON e.chrom = x.chrom AND e.start = x.start LEFT JOIN normal AS n ON e.chrom = n.chrom AND e.start = n.start)"
+    exact = effects.replace("round(avg(", "(avg(").replace(", 6) AS mh_frac", ") AS mh_frac")
+    places = ", ".join(f"round({c}, 6) AS {c}" for c in ("mh_frac_case", "mh_frac_control", "meth_diff", "p_val", "p_adjust"))
+    return f"{body}, eff AS ({exact}), {tested}, {RANKED_BH} SELECT * REPLACE ({places}) FROM adjusted"
+
+
+@register("diff_wilcox", _wilcox_sql())
+def _(spark, sf_dir):
+    return diff.calc_diff(summarize.windows(calls(spark, sf_dir), window_size=1000, step_size=100), CASES, CONTROLS)
+
+
 @register("bh_adjust", "WITH tested AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_discount * l_tax * l_tax * 10 END AS p FROM lineitem), " + """adjusted AS (SELECT *, least(1, min(raw) OVER (ORDER BY p DESC ROWS UNBOUNDED PRECEDING)) AS q
   FROM (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p RANGE UNBOUNDED PRECEDING) AS raw FROM tested WHERE p IS NOT NULL) AS b) SELECT l_orderkey, l_linenumber, l_partkey, round(q, 6) AS p_adjust FROM adjusted UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, NULL FROM tested WHERE p IS NULL""")
 def _(spark, sf_dir):
@@ -485,7 +544,12 @@ def _(spark, sf_dir):
     return qc.pca(summarize.windows(calls(spark, sf_dir), window_size=1000, step_size=100), "windows")[0]
 
 
-@register("density_kde")
+KDE = """points AS (SELECT fc AS x, fn AS y FROM diffed WHERE fc IS NOT NULL AND fn IS NOT NULL),
+  h AS (SELECT count(*) AS n, 1.06 * least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25)) / 1.34) * pow(count(*), -0.2) AS hx, 1.06 * least(stddev_samp(y), (quantile_cont(y, 0.75) - quantile_cont(y, 0.25)) / 1.34) * pow(count(*), -0.2) AS hy FROM points),
+  grid AS (SELECT unnest(range(0, 50)) / 49.0 AS v)"""
+
+
+@register("density_kde", cte(*FLAGSHIP, KDE) + "SELECT round(a.v, 6) AS x, round(b.v, 6) AS y, round(sum(exp(-0.5 * (pow((a.v - p.x) / hx, 2) + pow((b.v - p.y) / hy, 2)))) / (2 * pi() * any_value(n * hx * hy)), 6) AS z FROM grid AS a, grid AS b, points AS p, h GROUP BY a.v, b.v")
 def _(spark, sf_dir):
     return qc.diff_density(flagship_diff(spark, sf_dir), n_kde=50)[0]
 
@@ -522,3 +586,130 @@ def _(spark, sf_dir):
 @register("user_sql", cte() + "SELECT chrom, call_code, count(*) AS n FROM calls GROUP BY chrom, call_code")
 def _(spark, sf_dir):
     return _store(spark).write(calls(spark, sf_dir), "calls").sql("SELECT chrom, call_code, count(*) AS n FROM calls GROUP BY chrom, call_code")
+
+
+# --- files, stores and analyses, end to end ---------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession) -> str:
+    made = new_folder(spark, "files")
+    fs_of, path = ingest.files(spark)
+    fs_of(made).mkdirs(path(made))
+    remove_at_exit(spark, made)
+    return made
+
+
+def _archived(spark: SparkSession, rows: DataFrame, folder: str) -> list[str]:
+    """Call files S1-<i>.ch3 of a folder, by way of delimited files."""
+    rows.write.option("sep", "\t").option("header", True).csv(f"{folder}/tsv")
+    return ingest.make_archive(spark, f"{folder}/tsv", "S1", folder)
+
+
+def _headed(df: DataFrame, path: str, header: bool = True) -> str:
+    df.coalesce(1).write.option("sep", "," if path.endswith("csv") else "\t").option("header", header).csv(path)
+    return path
+
+
+def _read_csv(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    return spark.read.option("header", True).schema(like.schema).csv(path)
+
+
+@register("archive_files", ARCHIVE)
+def _(spark, sf_dir):
+    return spark.read.parquet(*_archived(spark, modkit_rows(spark, sf_dir), _folder(spark)))
+
+
+def _two_folders(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Two folders whose files have equal names."""
+    base, rows = _folder(spark), modkit_rows(spark, sf_dir)
+    for name, kmer in (("a", "CG"), ("b", "CA")):
+        _archived(spark, rows.where(F.col("query_kmer") == kmer), f"{base}/{name}")
+    return f"{base}/a", f"{base}/b"
+
+
+TWO = f"SELECT * REPLACE (CASE query_kmer WHEN 'CG' THEN 'first' ELSE 'second' END AS sample_name) FROM ({ARCHIVE}) AS f"
+
+
+@register("load_named_folders", TWO)
+def _(spark, sf_dir):
+    a, b = _two_folders(spark, sf_dir)
+    return ingest.load_calls(spark, [f"first={a}", f"second={b}"])
+
+
+@register("load_store_by_map", f"SELECT sample_name, count(*) AS n FROM ({TWO}) AS t GROUP BY sample_name")
+def _(spark, sf_dir):
+    a, b = _two_folders(spark, sf_dir)
+    return stats.sample_counts(_store(spark).load({"first": a, "second": b}).read("calls"))
+
+
+@register("file_stats", f"SELECT count(*) AS num_calls, count(DISTINCT read_id) AS num_reads, round(avg(read_length), 6) AS avg_read_length, count(*) AS high_conf_calls, count(*) AS high_qual_calls, CAST(8 AS BIGINT) AS log_lines FROM ({ARCHIVE}) AS f")
+def _(spark, sf_dir):
+    folder = _folder(spark)
+    _archived(spark, modkit_rows(spark, sf_dir), f"{folder}/calls")
+    found = stats.file_stats(spark, f"{folder}/calls/*{ingest.SUFFIX}", f"{folder}/log.txt", silently=True)
+    names_ = ("num_calls", "num_reads", "avg_read_length", "high_conf_calls", "high_qual_calls")
+    row = (*[found[n] for n in names_], spark.read.text(f"{folder}/log.txt").count())
+    return spark.createDataFrame([row], "num_calls bigint, num_reads bigint, avg_read_length double, high_conf_calls bigint, high_qual_calls bigint, log_lines bigint")
+
+
+@register("regions_from_file", _region_sql("INNER", 1))
+def _(spark, sf_dir):
+    bed = _headed(regions(spark), f"{_folder(spark)}/regions.bed", header=False)
+    return _store(spark).write(calls(spark, sf_dir), "calls").summarize_regions(bed).read("regions")
+
+
+@register("reads_in_regions_from_file", cte(READS.format(source=IN_WIDE), step=400) + READS_OUT)
+def _(spark, sf_dir):
+    tsv = _headed(_wide(spark), f"{_folder(spark)}/wide.tsv")
+    return _store(spark).write(calls(spark, sf_dir, 400), "calls").summarize_reads(regions_table=tsv).read("reads")
+
+
+@register("classify_reads_from_file", ORACLES["classify_reads"])
+def _(spark, sf_dir):
+    key = spark.createDataFrame(KEY, "chrom string, start bigint, `end` bigint, avg_mh_frac_control double, avg_mh_frac_case double, avg_meth_diff double")
+    # columns that a key table has and the classes don't need
+    key = key.withColumns({c: F.lit(1.0) for c in KEY_COLUMNS if c not in key.columns}).select(*KEY_COLUMNS)
+    store = _store(spark).write(calls(spark, sf_dir), "calls").summarize_reads()
+    return store.classify_reads(_headed(key, f"{_folder(spark)}/key.csv"), "case", "control").read("classified_reads")
+
+
+@register("run_analysis_diff", cte(pos(), ENDED, _pooled_sql("ended", SITES), _tested_sql(MIDP), BH, DIFFED) + _diff_out(SITES))
+def _(spark, sf_dir):
+    store = _store(spark).write(calls(spark, sf_dir), "calls")
+    made = analysis.run_analysis(store, store.path, CASES, CONTROLS)
+    return _read_csv(spark, made["diff"], store.read("mod_diff_positions"))
+
+
+@register("run_analysis_windows", cte(*FLAGSHIP, ISLANDS) + "SELECT * FROM merged")
+def _(spark, sf_dir):
+    store = _store(spark).write(calls(spark, sf_dir), "calls")
+    made = analysis.run_analysis(store, store.path, CASES, CONTROLS, "windows", step_size=100)
+    return _read_csv(spark, made["significant"], store.read("collapsed_windows"))
+
+
+@register("run_qc_correlation", ORACLES["samplecor_positions"])
+def _(spark, sf_dir):
+    return analysis.run_qc(_store(spark).write(calls(spark, sf_dir), "calls"), "calls")["correlation"]
+
+
+@register("run_qc_coverage", ORACLES["cov_quantiles"])
+def _(spark, sf_dir):
+    return analysis.run_qc(_store(spark).write(calls(spark, sf_dir), "calls"), "calls")["coverage"]["quantiles"]
+
+
+@register("store_append", cte(pos()) + f"{POS_OUT} UNION ALL {POS_OUT}")
+def _(spark, sf_dir):
+    store = _store(spark).write(calls(spark, sf_dir), "calls").summarize_positions()
+    return store.summarize_positions(overwrite=False).read("positions")
+
+
+@register("store_listing", cte() + "SELECT 'sample' AS kind, sample_name AS name FROM (SELECT DISTINCT sample_name FROM calls) AS s UNION ALL SELECT * FROM (VALUES ('table', 'calls'), ('table', 'reads'), ('removed', 'true'), ('removed again', 'false'), ('column', 'chrom'), ('column', 'n')) AS t(kind, name)")
+def _(spark, sf_dir):
+    store = _store(spark).write(calls(spark, sf_dir), "calls").summarize_positions().summarize_reads()
+    store.transform("calls", lambda df: df.groupBy("chrom").agg(F.count("*").alias("n")), "counts")
+    found = [("column", c) for c in store.columns("counts")]
+    found += [(kind, str(store.remove("positions")).lower()) for kind in ("removed", "removed again")]
+    store.remove("counts")
+    info = store.info()
+    found += [("table", t) for t in info["tables"]] + [("sample", n) for n in info["samples"]]
+    return spark.createDataFrame(found, "kind string, name string")
