@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandlake.functions import kernels
 from strandlake.schema import require
@@ -37,20 +38,21 @@ def grouped(df: DataFrame, cases: Sequence[str], controls: Sequence[str], mod_ty
     return kept
 
 
-def _p_values(tuples: DataFrame, test: str) -> DataFrame:
-    """The distinct count tuples with p_val, in Arrow batches."""
+def with_p_values(dat: DataFrame, test: str) -> DataFrame:
+    """The rows with p_val, in Arrow batches; the equal counts of a batch are tested once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kc, kn, mc, mn = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            counts = np.stack([b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in TUPLE])
+            (kc, kn, mc, mn), which = np.unique(counts, axis=1, return_inverse=True)
             oc, on = kc - mc, kn - mn
             if test == "log_reg":
                 p = kernels.log_likelihood_ratio(mc, oc, mn, on)[1]
             else:
                 p = (kernels.mid_p if test == "fast_fisher" else kernels.fisher_exact)(mc, mc + mn, oc + on, kc)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*TUPLE, "p_val"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p[which.reshape(-1)], pa.float64())], names=[*b.schema.names, "p_val"])
 
-    return tuples.mapInArrow(run, ", ".join(f"{c} bigint" for c in TUPLE) + ", p_val double")
+    return dat.mapInArrow(run, T.StructType([*dat.schema.fields, T.StructField("p_val", T.DoubleType())]))
 
 
 def _side(value: str, group: str):
@@ -61,8 +63,7 @@ def pooled(kept: DataFrame, test: str) -> DataFrame:
     """Fisher tests and the likelihood-ratio test, on counts that are pooled by group."""
     keys = [c for c in KEYS if c in kept.columns]
     dat = kept.groupBy(*keys).agg(*[_side(v, g) for v in ("num_calls", "mod_counts") for g in ("case", "control")])
-    p = _p_values(dat.select(*TUPLE).distinct(), test)
-    dat = dat.join(p, TUPLE)
+    dat = with_p_values(dat, test)
     share = lambda g: F.try_divide(F.col(f"mod_counts_{g}").cast("double"), F.nullif(F.col(f"num_calls_{g}"), F.lit(0)).cast("double"))
     return dat.select(
         *keys, "num_calls_case", "num_calls_control", "mod_counts_case", "mod_counts_control",
@@ -90,8 +91,6 @@ def ranked(kept: DataFrame) -> DataFrame:
             p = [kernels.wilcoxon(x or [], y or []) for x, y in zip(xs, ys, strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(p, pa.float64())], names=[*b.schema.names[:-2], "p_val"])
 
-    from pyspark.sql import types as T
-
     schema = T.StructType([*dat.schema.fields[:-2], T.StructField("p_val", T.DoubleType())])
     out = dat.mapInArrow(run, schema).withColumn("meth_diff", F.col("mod_frac_case") - F.col("mod_frac_control"))
     names = [f"{v}_{g}" for v in ("num_samples", "num_calls", "mod_counts", "mod_frac") for g in ("case", "control")]
@@ -119,7 +118,9 @@ def bh_adjust(df: DataFrame, p: str = "p_val", adjusted: str = "p_adjust") -> Da
     after = least.withColumn("_after", F.min("_least").over(Window.orderBy("_band").rowsBetween(1, Window.unboundedFollowing))).select("_band", "_after")
     placed = placed.join(F.broadcast(after), "_band").withColumn("_down", F.min("_q").over(up.rowsBetween(0, Window.unboundedFollowing)))
     placed = placed.select("_p", F.least(F.lit(1.0), "_down", F.coalesce("_after", F.lit(1.0))).alias(adjusted))
-    return df.join(placed, F.col(p) == F.col("_p"), "left").drop("_p")
+    # rows without a p-value meet nothing; a key below 0 of their own deals them over all tasks
+    keyed = df.withColumn("_key", F.coalesce(F.col(p), -1.0 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(1 << 20))))
+    return keyed.join(placed, F.col("_key") == F.col("_p"), "left").drop("_p", "_key")
 
 
 def calc_diff(df: DataFrame, cases: Sequence[str], controls: Sequence[str], mod_type: str = "mh", calc_type: str | None = None) -> DataFrame:

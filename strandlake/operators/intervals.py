@@ -1,8 +1,8 @@
 """Interval joins: points in regions, and overlapping intervals.
 
-A table of intervals below ``BROADCAST_ROWS`` rows, which is counted first, is broadcast and hash-joined
-on the chromosome. A larger one is cut into buckets of genomic width ``BUCKET``, and joined by
-(chromosome, bucket), so that a chromosome is the work of many tasks.
+Intervals are cut at multiples of the genomic width ``BUCKET`` and joined by (chromosome, bucket), so that
+a place only meets what lies near it. Below ``BROADCAST_ROWS`` pieces, which are counted first, they are
+broadcast; beyond that both sides are shuffled, and a chromosome is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -14,23 +14,27 @@ BUCKET = 10_000
 BROADCAST_ROWS = 50_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    return df.limit(rows + 1).count() <= rows
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The table, marked for broadcast if it has no more rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def bucket(column: Column) -> Column:
     return F.floor(column.cast("double") / BUCKET).cast("long")
 
 
+def pieces(df: DataFrame, first: str, last: str, name: str) -> DataFrame:
+    """A row for each bucket that an interval touches; empty intervals have none."""
+    return df.where(F.col(first) <= F.col(last)).withColumn(name, F.explode(F.sequence(bucket(F.col(first)), bucket(F.col(last)))))
+
+
 def points_in_regions(points: DataFrame, regions: DataFrame, how: str = "inner", half_open: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join points (chrom, start) to regions (r_chrom, r_start, r_end); both ends belong to a region unless half_open."""
     at = F.col("start").cast("double")
     inside = (at >= F.col("r_start")) & ((at < F.col("r_end")) if half_open else (at <= F.col("r_end")))
-    if small(regions, broadcast_rows):
-        return points.join(F.broadcast(regions), (F.col("chrom") == F.col("r_chrom")) & inside, how)
-    cut = regions.where("r_start <= r_end").withColumn("r_bucket", F.explode(F.sequence(bucket(F.col("r_start")), bucket(F.col("r_end")))))
+    cut = pieces(regions, "r_start", "r_end", "r_bucket")
     on = (F.col("chrom") == F.col("r_chrom")) & (F.col("p_bucket") == F.col("r_bucket")) & inside
-    return points.withColumn("p_bucket", bucket(F.col("start"))).join(cut, on, how).drop("p_bucket", "r_bucket")
+    return points.withColumn("p_bucket", bucket(F.col("start"))).join(sized(cut, broadcast_rows), on, how).drop("p_bucket", "r_bucket")
 
 
 def in_region(calls: DataFrame, annotation: DataFrame, legacy_bucket: bool = False, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -45,9 +49,7 @@ def in_region(calls: DataFrame, annotation: DataFrame, legacy_bucket: bool = Fal
 def overlapping(left: DataFrame, first: str, last: str, right: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join intervals [first, last] of ``left`` (chrom) to the overlapping ones of ``right`` (k_chrom, k_start, k_end)."""
     touch = (F.col("chrom") == F.col("k_chrom")) & (F.col(first) <= F.col("k_end")) & (F.col(last) >= F.col("k_start"))
-    if small(right, broadcast_rows):
-        return left.join(F.broadcast(right), touch)
-    cut = lambda df, a, b, name: df.where(F.col(a) <= F.col(b)).withColumn(name, F.explode(F.sequence(bucket(F.col(a)), bucket(F.col(b)))))
-    joined = cut(left, first, last, "l_bucket").join(cut(right, "k_start", "k_end", "k_bucket"), touch & (F.col("l_bucket") == F.col("k_bucket")))
+    right = sized(pieces(right, "k_start", "k_end", "k_bucket"), broadcast_rows)
+    joined = pieces(left, first, last, "l_bucket").join(right, touch & (F.col("l_bucket") == F.col("k_bucket")))
     # a pair meets in several buckets; it counts in the first that both have
     return joined.where(F.col("l_bucket") == F.greatest(bucket(F.col(first)), bucket(F.col("k_start")))).drop("l_bucket", "k_bucket")

@@ -1,11 +1,14 @@
-"""File streams of call files: each batch is filtered like a load, and its position counts are merged.
+"""File streams of call files: each batch is filtered like a load, and its position counts are added up.
 
-Counts add up, so a batch is aggregated on its own and merged with the table by one more grouped sum.
-The batch's number is kept with the table, so a batch that is tried again is not added twice.
+A batch is aggregated on its own and written to a partition that its stream and number name, so a batch
+that is tried again replaces itself. The table is the sum over these partitions; what it had before its
+first stream is one of them. From then on the stream alone writes the table.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,14 +18,19 @@ from strandlake.plans.store import ModStore
 from strandlake.sources import ingest
 
 
-def merge_positions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Two position tables with the same measures as one."""
-    labels = [c.removesuffix("_counts") for c in old.columns if c.endswith("_counts")]
+def added(parts: DataFrame) -> DataFrame:
+    """Rows of position tables with the same measures, summed by place."""
+    labels = [c.removesuffix("_counts") for c in parts.columns if c.endswith("_counts")]
     sums = [F.sum(c).cast("long").alias(c) for c in ("num_calls", *[f"{x}_counts" for x in labels])]
-    both = old.select(*new.columns).unionByName(new).groupBy("sample_name", "chrom", "start", "end").agg(*sums)
+    both = parts.groupBy("sample_name", "chrom", "start", "end").agg(*sums)
     return both.select("sample_name", "chrom", "start", "end", "num_calls", *[f"{x}_counts" for x in labels], *frac_columns(labels))
 
 
+def merge_positions(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two position tables with the same measures as one."""
+    return added(old.select(*new.columns).unionByName(new))
+
+
 def stream_calls(spark: SparkSession, folder: str, schema, **filters) -> DataFrame:
     """Filtered calls of a folder's call files as they arrive; the file names the sample."""
     raw = spark.readStream.schema(schema).option("pathGlobFilter", f"*{ingest.SUFFIX}").parquet(folder)
@@ -35,12 +43,20 @@ def follow(store: ModStore, folder: str, schema, checkpoint: str, table: str = "
     spark = store.spark
     measures(mod_code)
 
+    parts, stream = f"{table}_batches", hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+
+    def put(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{store.path}/{parts}/batch={name}")
+
+    def written() -> bool:
+        """Whether any partition is whole; a write that broke off leaves no mark."""
+        at = store._path
+        return store.exists(parts) and any(store.fs.exists(at(f"{s.getPath()}/_SUCCESS")) for s in store.fs.listStatus(at(f"{store.path}/{parts}")))
+
     def merge(batch: DataFrame, number: int) -> None:
-        done = f"{table}_batches"
-        if store.exists(done) and store.read(done).where(F.col("batch") == number).count():
-            return
-        new = summarize.positions(batch, mod_code=mod_code)
-        store.write(merge_positions(store.read(table), new) if store.exists(table) else new, table)
-        store.write(spark.createDataFrame([(number,)], "batch bigint"), done, "append")
+        if store.exists(table) and not written():
+            put(store.read(table), "before")
+        put(summarize.positions(batch, mod_code=mod_code), f"{stream}-{number}")
+        store.write(added(store.read(parts).drop("batch")), table)
 
     return stream_calls(spark, folder, schema, **filters).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

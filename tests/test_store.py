@@ -113,6 +113,26 @@ def test_stream_merges_batches_once(spark, archive, tmp_path):
     assert total == {"case1": 80, "ctrl1": 40}
 
 
+def test_stream_keeps_the_old_table_and_replaces_a_batch(spark, archive, tmp_path):
+    import shutil
+
+    folder = tmp_path / "arriving"
+    folder.mkdir()
+    shutil.copy(archive / "ch3" / "case1-0.ch3", folder / "case1-0.ch3")
+    schema = spark.read.parquet(f"{archive}/ch3/case1-0.ch3").schema
+    store = ModStore(spark, str(tmp_path / "broken"))
+    store.write(ingest.load_calls(spark, str(folder)), "calls").summarize_positions()
+    (tmp_path / "broken.mod.db" / "positions_batches" / "batch=before").mkdir(parents=True)  # a write that broke off
+    n = store.read("positions").agg(F.sum("num_calls")).first()[0]
+    append.follow(store, str(folder), schema, str(tmp_path / "cp")).awaitTermination()
+    assert store.read("positions").agg(F.sum("num_calls")).first()[0] == 2 * n
+    commits = tmp_path / "cp" / "commits"
+    for f in [*commits.glob("0"), *commits.glob(".0.crc")]:
+        f.unlink()  # the batch is run again
+    append.follow(store, str(folder), schema, str(tmp_path / "cp")).awaitTermination()
+    assert store.read("positions").agg(F.sum("num_calls")).first()[0] == 2 * n
+
+
 def test_region_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("chr1,1,5,x\nchr2,3,9,y\n")
     assert [r.region_name for r in ingest.read_regions(spark, str(tmp_path / "a.csv")).orderBy("chrom").collect()] == ["x", "y"]
