@@ -234,6 +234,27 @@ def test_lm_score_equals_a_plain_mixer(spark, monkeypatch):
         assert x.score == pytest.approx(-nats(texts[x.doc_id]) / math.log(10), rel=2e-4), x.doc_id
 
 
+def test_lm_weights_come_from_all_training_texts(spark):
+    """Long texts and long words count too, and as many as there are: weights equal those of all bits in one array, but for the bins."""
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["a b c d", "a c", "b d e", "f g"]) for _ in range(14_000)) + f" {k}" + "long" * 20 for k in range(2)] + [" ".join(r.choice("abcdefg") for _ in range(r.randint(1, 30))) for _ in range(500)]
+    model, _ = lm.fitted(spark.createDataFrame([(t,) for t in texts], "text string"), "text", lm.VOCABULARY)
+    assert len(texts[0]) > 1 << 16
+    ids = np.array([model.ids().get(w.encode(), 1) for t in texts for w in [*t.split(), ""]])
+    length, node, bit = model.code.bits(ids)
+    slots = [lm.slots_of(np.repeat(c, length), model.code.hash[node], model.bits) for c in lm.word_contexts(ids)]
+    high = []
+    for s in slots:
+        zeros, ones = (np.bincount(s[bit == y], minlength=1 << model.bits)[s] - (bit == y) for y in (0, 1))
+        high.append(lm.cells_of(zeros.astype(np.float32), ones.astype(np.float32)))
+    gate = lm.gate_of(high)
+    want = lm.learnt([model.code.logit[node], *(lm.LOGITS[h] for h in high)], gate, bit, np.ones(len(bit)))
+    often = np.bincount(gate, minlength=lm.GATES) > 1000
+    assert often.any() and (abs(want - 0.4) > 0.1)[:, often].any()
+    assert model.weights[:, often] == pytest.approx(want[:, often], abs=0.1)
+    assert (model.byte_weights != np.float32(0.4)).any()
+
+
 def test_tokens_equal_the_pattern():
     import pyarrow as pa
 
