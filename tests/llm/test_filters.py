@@ -315,6 +315,23 @@ def test_html_extraction(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("parts", "group_tokens"), [(1, 400_000), (1, 10), (7, 400_000), (7, 10)])
+def test_html_repeats_of_a_host_across_groups(spark, parts, group_tokens):
+    """What repeats on two pages of a host is cut however they are dealt out, also if one of them has an article, or if they are far apart."""
+    menu, note = "<div>Home page here About our shop</div>", "<p>Only two of all pages say this</p>"
+    page = lambda k: f"<body>{menu}<p>Story number {k} tells of {k} things</p>{note if k in (0, 29) else ''}<p>end {k}</p></body>"
+    rows = [(k, f"http://Big.org/{k}", page(k)) for k in range(30)]
+    rows += [(30, "http://big.org/a", "<article><p>Story number 7 tells more</p></article>"), (40, "http://other.org/", page(0)), (41, "http://other.org/copy", page(0)), (50, "http://alone.org/a", f"{menu}<main>kept {note}</main>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(parts, "page_id")
+    found = {x.page_id: x.text for x in html.extract(pages, group_tokens=group_tokens).collect()}
+    # "number 7 tells" and its neighbours: windows that are on a second page cover no whole block
+    assert [found[k] for k in range(30)] == [f"Story number {k} tells of {k} things\nend {k}" for k in range(30)]
+    assert found[30] == "Story number 7 tells more"
+    whole = "Home page here About our shop\nStory number 0 tells of 0 things\nOnly two of all pages say this\nend 0"
+    assert found[40] == found[41] == whole and found[50] == "kept\nOnly two of all pages say this"
+    assert html.extract(pages, keep=["page_id"]).columns == ["page_id", "text", "n_chars"]
+
+
 def test_html_scan_is_linear():
     import time
 
