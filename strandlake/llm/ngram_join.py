@@ -484,4 +484,5 @@ def _texts(wanted: DataFrame, rows: DataFrame, spark) -> DataFrame:
     bounded_batches(spark)
     hashed = rows.where("doc_id IS NOT NULL").withColumn("text_hash", F.xxhash64("text")).select("doc_id", "text_hash", "text", slot.alias("slot"))
     passed = hashed.mapInArrow(only, "doc_id bigint, text_hash bigint, text string")
-    return passed.join(wanted.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"])
+    # repeated rows meet where the join has put them; by the node alone, all texts would be shuffled once more
+    return passed.join(wanted.select("node", "doc_id", "text_hash"), ["doc_id", "text_hash"]).dropDuplicates(["doc_id", "text_hash", "node"]).select("node", "text")

@@ -141,3 +141,19 @@ def test_connected_components(spark, one_task):
             parent[max(a, b)] = min(a, b)
     found = {x.node: x.component for x in components(spark.createDataFrame(edges, "u bigint, v bigint"), one_task).collect()}
     assert found == {x: root(x) for x in parent}
+
+
+def test_texts_of_candidates_are_shuffled_once(spark):
+    """Also where the join is not broadcast; a repeated row gives its text once."""
+    rows = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "d e"), (2, "a b c"), (None, "x")], "doc_id bigint, text string")
+    wanted = rows.where("doc_id = 1").distinct().selectExpr("length(text) AS node", "doc_id", "xxhash64(text) AS text_hash").selectExpr("cast(node AS bigint) AS node", "doc_id", "text_hash")
+    wanted = spark.createDataFrame(wanted.collect(), wanted.schema)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = J._texts(wanted, rows, spark)
+        plan = texts._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, texts.collect())) == [(3, "d e"), (5, "a b c")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning(") == 2, plan
