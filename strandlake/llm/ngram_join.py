@@ -13,9 +13,12 @@ carry too few units emits, besides, the elements of its prefix (the smallest has
 sets that are linked find each other.
 
 Equal sets are one set, known by its digest; from here on sets are compared, not documents, and of equal
-ones a task emits one. Signatures are grouped by sums with partial aggregation, so no task holds the
-documents of a signature. Each set is compared with its hub, the set of most shared signatures among
-those that it shares one with; in a group of near copies this is the one that the others derive from.
+ones a task emits one. Signatures travel packed, a few bytes each, to the task of their bucket, which finds
+the shared ones; these are grouped by sums with partial aggregation. Each set has a hub, the set of most
+shared signatures among those that it shares one with; in a group of near copies this is the one that the
+others derive from. Sketches of the sets, which differ in no more bits than the sets in elements, tell of
+most sets that they are linked neither to their hub nor to another set of it; these go without a link lost.
+The others are compared with the hub.
 Two sets of one hub differ from each other where exactly one of them differs from the hub, so they are
 compared by their differences from it: an inverted index of the differences of those that aren't linked
 to the hub is held in blocks of bounded size, and the differences of all members of the hub stream past
@@ -38,12 +41,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandlake.functions.memo import memo
-from strandlake.llm.common import append_columns, as_bytes, bounded_batches, frugal, give_back, materialize, sliced
+from strandlake.llm.common import SLICE_ROWS, as_bytes, bounded_batches, discard, frugal, give_back, materialize, sliced
 from strandlake.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -56,8 +58,14 @@ PER_SALT = 500
 BLOCK_ELEMENTS, PROBE_ELEMENTS = 1_000_000, 8_000_000
 #: Digests that a task remembers to have emitted.
 DIGESTS_KEPT = 200_000
-#: Bits of the filters of rows that may be candidates, and of shared signatures; they are broadcast, so they have fixed sizes. A full one only filters less.
-FILTER_BITS, SHARED_BITS = 21, 25
+#: Bits of the filter of rows that may be candidates; it is broadcast, so it has a fixed size. A full one only filters less.
+FILTER_BITS = 21
+#: Bits of a signature, and those of them that name its bucket; by chance equal ones only give more pairs to compare.
+SIG_BITS, BUCKET_BITS = 40, 10
+#: Members of a hub, at most, that are compared with each other by their sketches before their texts are moved.
+SKETCHED = 2_000
+#: Signatures that a task gathers before it sorts and packs them.
+SIGS_HELD = 1 << 20
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -168,38 +176,130 @@ class Shingler:
         return np.unique(mix(h))
 
 
-def _signed(h: np.ndarray) -> list[int]:
-    return h.view(np.int64).tolist()
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the numbers of elements by their low bits, as many as a power of two not below the set's size.
+
+    Sets that differ in d elements differ in at most d parities; halves of a sketch xored are the sketch of half the bits.
+    """
+    bits = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).view(np.int64), minlength=bits) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def packed(values: np.ndarray, owners: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, bytes) of signatures and the places of their documents: sorted, as differences of as few bytes as the largest needs."""
+    order = np.argsort(values, kind="stable")
+    values, owners = values[order], owners[order].astype("<u2")
+    step = SIG_BITS - BUCKET_BITS
+    bounds = np.searchsorted(values, np.arange((1 << BUCKET_BITS) + 1, dtype=np.uint64) << np.uint64(step))
+    for k in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
+        at = slice(bounds[k], bounds[k + 1])
+        apart = np.diff(values[at], prepend=np.uint64(k << step))
+        width = max(1, (int(apart.max()).bit_length() + 7) // 8)
+        yield k, bytes([width]) + apart.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + owners[at].tobytes()
+
+
+def unpacked(bucket: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = data[0]
+    count = (len(data) - 1) // (width + 2)
+    apart = np.zeros((count, 8), np.uint8)
+    apart[:, :width] = np.frombuffer(data, np.uint8, count * width, 1).reshape(count, width)
+    values = np.cumsum(apart.view("<u8").ravel(), dtype=np.uint64) + np.uint64(bucket << (SIG_BITS - BUCKET_BITS))
+    return values, np.frombuffer(data, "<u2", count, 1 + count * width)
 
 
 def emitted(docs: DataFrame, text: str, n: int, percent: int) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, digest, sigs): the digest names the set; it is null for the empty set.
+    """Rows of two kinds: (doc_id, text_hash, n_shingles, digest, row, sketch) for each of ``docs``, and (row, bucket, sigs) for many of these.
 
-    Of equal sets that a task meets, the first one has the signatures (in a task with very many sets, also later ones).
+    The digest names the set; it is null for the empty set. row and sketch are null where a document emits no signatures:
+    without an id, or if its task has met an equal set (in a task with very many sets, that may emit again).
+    sigs are those of one bucket, ``packed``, with the places of their documents after the first row.
     """
+    spark = docs.sparkSession
+    bounded_batches(spark)
 
-    def start():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
         from xxhash import xxh3_64_intdigest as digest
 
-        shingles, met = Shingler(n), set()
+        frugal()
+        shingles, met, held, first = Shingler(n), set(), [], TaskContext.get().partitionId() << 36
+
+        def batch_of(**columns) -> pa.RecordBatch:
+            rows = len(columns["row"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(rows, t) for c, t in types], names=[c for c, _ in types])
+
+        def given_out() -> Iterator[pa.RecordBatch]:
+            if not held:
+                return
+            owners = np.repeat(np.arange(len(held)), [len(x) for x in held])
+            made = list(packed(np.concatenate(held), owners))
+            for k in range(0, len(made), SLICE_ROWS):
+                some = made[k : k + SLICE_ROWS]
+                yield batch_of(row=[first] * len(some), bucket=[x[0] for x in some], sigs=[x[1] for x in some])
 
-        def work(columns):
-            sizes, names, sigs = [], [], []
-            for t in columns[0]:
+        for part in sliced(batches):
+            sizes, names, rows, sketches = [], [], [], []
+            for i, t in zip(part.column(0).to_pylist(), as_bytes(part.column(2)), strict=True):
                 h = shingles(t)
                 name = np.uint64(digest(h.tobytes(), seed=len(h))).view(np.int64).item() if len(h) else None
                 sizes.append(len(h))
                 names.append(name)
-                sigs.append([] if name is None or name in met else _signed(signatures(h, percent)))
+                if i is None or name is None or name in met:
+                    rows.append(None)
+                    sketches.append(None)
+                    continue
+                rows.append(first + len(held))
+                sketches.append(sketch(h))
+                held.append(np.unique(signatures(h, percent) >> np.uint64(64 - SIG_BITS)))
                 if len(met) >= DIGESTS_KEPT:
                     met.clear()
                 met.add(name)
-            return [sizes, names, sigs]
+            yield batch_of(doc_id=part.column(0), text_hash=part.column(1), n_shingles=sizes, digest=names, row=rows, sketch=sketches)
+            if sum(map(len, held)) >= SIGS_HELD or len(held) + SLICE_ROWS > 1 << 16:
+                yield from given_out()
+                held, first = [], first + len(held)
+        yield from given_out()
+        shingles = met = held = None
+        give_back()
+
+    types = [(c, pa.int64()) for c in ("doc_id", "text_hash", "n_shingles", "digest", "row")] + [("sketch", pa.binary()), ("bucket", pa.int32()), ("sigs", pa.binary())]
+    rows = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text)
+    return rows.mapInArrow(run, "doc_id bigint, text_hash bigint, n_shingles bigint, digest bigint, row bigint, sketch binary, bucket int, sigs binary")
+
+
+def sharing(made: DataFrame) -> DataFrame:
+    """(sig, row) of the signatures that several rows of ``emitted`` have; a task holds one bucket at once."""
+    dealt = made.where("sigs IS NOT NULL").select("bucket", "row", "sigs").repartition("bucket").sortWithinPartitions("bucket")
+    bounded_batches(made.sparkSession)
 
-        return work
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        bucket, held = None, []
+
+        def found() -> Iterator[pa.RecordBatch]:
+            values, rows = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(values, kind="stable")
+            values = values[order]
+            same = np.concatenate([[False], values[1:] == values[:-1], [False]])
+            several = same[1:] | same[:-1]
+            values, rows = values[several].view(np.int64), rows[order[several]]
+            for k in range(0, len(values), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(values[k : k + (1 << 16)]), pa.array(rows[k : k + (1 << 16)])], names=["sig", "row"])
+
+        for part in batches:
+            for k, first, data in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                if held and k != bucket:
+                    yield from found()
+                    held = []
+                bucket = k
+                values, owners = unpacked(k, data)
+                held.append((values, owners + np.int64(first)))
+        if held:
+            yield from found()
+        held = None
+        give_back()
 
-    fields = [("n_shingles", "bigint"), ("digest", "bigint"), ("sigs", "array<bigint>")]
-    return append_columns(docs.withColumn("text_hash", F.xxhash64(text)), [text], fields, start, keep=["doc_id", "text_hash"], binary=True)
+    return dealt.mapInArrow(run, "sig bigint, row bigint")
 
 
 def _streamed(pairs: DataFrame, texts: DataFrame, n: int) -> tuple[DataFrame, object]:
@@ -359,6 +459,62 @@ def within_hubs(compared: DataFrame, texts: DataFrame, n: int, percent: int) ->
     return both.mapInArrow(run, "u bigint, v bigint")
 
 
+def promising(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The (u, v) of ``pairs`` without those v that, by their sketches, are linked neither to u nor to another v of u.
+
+    No link among a u and its v is lost, as sketches differ in no more bits than sets in elements. The v of very many are all kept.
+    """
+    count = pairs.groupBy("u").agg(F.count("*").alias("m"))
+    rows, few = pairs.join(count, "u"), count.where(F.col("m") <= SKETCHED)
+    visits = rows.where(F.col("m") <= SKETCHED).select("u", "v", F.col("v").alias("of")).unionByName(few.select("u", F.lit(None).cast("bigint").alias("v"), F.col("u").alias("of")))
+    dealt = visits.join(sketches, visits.of == sketches.node).select("u", "v", "size", "sketch").repartition("u").sortWithinPartitions("u", F.asc_nulls_first("v"))
+    bounded_batches(pairs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frugal()
+        hub, held = None, []
+
+        def found() -> tuple[list[int], list[int]]:
+            kept = _near(np.array([x[1] for x in held], np.int64), [np.frombuffer(x[2], "<u8") for x in held], percent)
+            names = [x[0] for x, k in zip(held, kept, strict=True) if k and x[0] is not None]
+            return [hub] * len(names), names
+
+        for part in batches:
+            us, vs = [], []
+            for u, *member in zip(*(part.column(k).to_pylist() for k in range(4)), strict=True):
+                if held and u != hub:
+                    for all_of, some in zip((us, vs), found(), strict=True):
+                        all_of += some
+                    held = []
+                hub = u
+                held.append(member)
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found()], names=["u", "v"])
+        held = None
+        give_back()
+
+    return dealt.mapInArrow(run, "u bigint, v bigint").unionByName(rows.where(F.col("m") > SKETCHED).select("u", "v"))
+
+
+def _near(sizes: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether each of some sets may be linked to another of them."""
+    near = np.zeros(len(sizes), bool)
+    wide = np.array([len(x) for x in sketches])
+    for w in np.unique(wide).tolist():
+        own = np.flatnonzero(wide == w)
+        # of linked sets, the larger has less than 200 / percent times the bits, as a sketch has less than twice its set's size
+        others = np.flatnonzero((wide >= w) & ((wide * percent < 200 * w) | (wide == w)))
+        bits = np.stack([np.bitwise_xor.reduce(sketches[k].reshape(-1, w), axis=0) for k in others])
+        for k in own:
+            apart = np.bitwise_count(bits[np.searchsorted(others, k)] ^ bits).sum(axis=1, dtype=np.int64)
+            hit = others[_linked(apart, sizes[k] + sizes[others], percent) & (others != k)]
+            if len(hit):
+                near[k] = True
+                near[hit] = True
+    return near
+
+
 def _possible(u: str, v: str, percent: int):
     """Whether two sizes allow a link."""
     return F.expr(f"100 * least({u}, {v}) >= {percent} * greatest({u}, {v})")
@@ -367,10 +523,15 @@ def _possible(u: str, v: str, percent: int):
 def _components_of(docs: DataFrame, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``emitted`` rows of all documents, and (node, first, component) of the sets; first is the row (doc_id, text_hash) that stands for a set."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    made = materialize(emitted(rows, "text", n, percent))
+    both = materialize(emitted(rows, "text", n, percent))
+    made = materialize(both.where("sigs IS NULL").drop("bucket", "sigs"))
     named = made.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    sets = named.groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("size"))
-    parts = _linked_sets(named, sets.select("node", "first.doc_id", "first.text_hash", "size"), rows, n, percent)
+    sets = named.groupBy(F.col("digest").alias("node")).agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.max("n_shingles").alias("size"), F.min("row").alias("row"))
+    # of equal sets only one has signatures here
+    signed = materialize(sharing(both).join(sets.select("row", "node", "size"), "row").select("sig", "node", "size"))
+    discard(both)
+    sketches = sets.select("row", "node", "size").join(made.select("row", "sketch"), "row").drop("row")
+    parts = _linked_sets(signed, sets.select("node", "first.doc_id", "first.text_hash"), sketches, rows, n, percent)
     return made, sets.join(parts, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
 
 
@@ -404,23 +565,23 @@ def distinct_documents(docs: DataFrame, text: str = "text", n: int = 5, percent:
     return once.unionByName(first).select(*docs.columns)
 
 
-def _linked_sets(named: DataFrame, sets: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of the sets that are linked to others, from their shared signatures."""
-    spark = named.sparkSession
-    signed = named.select(F.explode("sigs").alias("sig"), F.col("digest").alias("node"))
-    shared = signed.groupBy("sig").agg(F.count("*").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("sig", "n")
-    shared = materialize(shared)
-    members = materialize(_may_be_shared(named.select("sigs", F.col("digest").alias("node"), F.col("n_shingles").alias("size")), shared).join(shared, "sig").distinct())
+def _linked_sets(signed: DataFrame, sets: DataFrame, sketches: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of the sets that are linked to others, from their signatures (sig, node, size)."""
+    shared = signed.groupBy("sig").agg(F.count("*").alias("n")).where("n > 1")
+    members = materialize(signed.join(shared, "sig"))
+    discard(signed)
     # how many signatures a set shares: many if others derive from it
     pop = members.groupBy("node").agg(F.sum("n").alias("pop"))
-    members = materialize(members.drop("n").join(pop, "node"))
-    texts = materialize(_texts(members.select("node").distinct().join(sets, "node"), rows, spark))
+    counted, members = members, materialize(members.drop("n").join(pop, "node"))
+    discard(counted)
+    sketches = materialize(members.select("node").distinct().join(sketches, "node"))
     # a set's hub: of those that it shares a signature with and that rank higher, the highest
     rank = F.struct(F.col("pop"), (-F.col("node")).alias("minus"), F.col("size"))
     leads = members.groupBy("sig").agg(F.max(rank).alias("r")).select("sig", (-F.col("r.minus")).alias("u"), F.col("r.pop").alias("u_pop"), F.col("r.size").alias("u_size"))
     led = members.join(leads, "sig").where("u <> node").where(_possible("u_size", "size", percent))
     hubs = materialize(led.groupBy("node").agg(F.max(F.struct("u_pop", (-F.col("u")).alias("minus"))).alias("r")).select("node", (-F.col("r.minus")).alias("hub")))
-    compared = materialize(differences(hubs.select(F.col("hub").alias("u"), F.col("node").alias("v")), texts, n, percent))
+    chosen, texts = _pairs_and_texts(hubs.select(F.col("hub").alias("u"), F.col("node").alias("v")), sketches, sets, rows, percent)
+    compared = materialize(differences(chosen, texts, n, percent))
     links = materialize(compared.where("link").select("u", "v").unionByName(within_hubs(compared, texts, n, percent)))
     parts = materialize(components(links))
     # what is left: groups of one signature with several components and several hubs; all members of such a
@@ -428,43 +589,27 @@ def _linked_sets(named: DataFrame, sets: DataFrame, rows: DataFrame, n: int, per
     owned = members.join(hubs, "node", "left").join(parts, "node", "left").select("sig", "node", F.coalesce("hub", "node").alias("hub"), F.coalesce("component", "node").alias("component"))
     left = owned.groupBy("sig").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("hub").alias("h0"), F.max("hub").alias("h1")).where("c0 < c1 AND h0 < h1").select("sig")
     pairs = members.join(left, "sig", "left_semi").join(leads, "sig").where("u <> node")
-    pairs = materialize(pairs.select("u", F.col("node").alias("v"), "u_size", F.col("size").alias("v_size")).distinct())
+    pairs = materialize(pairs.select("u", F.col("node").alias("v")).distinct())
+    discard(members, texts)
     if not pairs.take(1):
         return parts
+    pairs, texts = _pairs_and_texts(pairs, sketches, sets, rows, percent)
     alone = pairs.groupBy("u").agg(F.count("*").alias("n")).where("n = 1").select("u")
     done = compared.select("u", "v")
-    single = pairs.join(alone, "u", "left_semi").where(_possible("u_size", "v_size", percent)).select("u", "v").join(done, ["u", "v"], "left_anti")
+    single = pairs.join(alone, "u", "left_semi").join(done, ["u", "v"], "left_anti")
     several = materialize(pairs.join(alone, "u", "left_anti").select("u", "v"))
     again = differences(several.join(done, ["u", "v"], "left_anti"), texts, n, percent)
     again = materialize(again.unionByName(compared.join(several, ["u", "v"], "left_semi").select(*again.columns)))
-    links = links.unionByName(linked(single, texts, n, percent)).unionByName(again.where("link").select("u", "v")).unionByName(within_hubs(again, texts, n, percent))
+    links = materialize(links.unionByName(linked(single, texts, n, percent)).unionByName(again.where("link").select("u", "v")).unionByName(within_hubs(again, texts, n, percent)))
+    discard(texts)
     return materialize(components(links))
 
 
-def _may_be_shared(named: DataFrame, shared: DataFrame) -> DataFrame:
-    """(sig, a, b) of all shared signatures, and some others, of rows (sigs, a, b); by a bitmap of the shared ones."""
-    slot, spark = F.pmod("sig", F.lit(1 << SHARED_BITS)), named.sparkSession
-    _, a, b = named.columns
-    wide = 8 * 4096  # bits of one of Spark's bitmaps
-    parts = shared.select(slot.alias("s")).groupBy(F.floor(F.col("s") / wide).alias("k")).agg(F.bitmap_construct_agg((F.col("s") % wide).cast("long")).alias("bits")).collect()
-    bits = np.zeros((1 << SHARED_BITS) // 8, np.uint8)
-    for row in parts:
-        bits[row.k * 4096 : (row.k + 1) * 4096] = np.frombuffer(bytes(row.bits), np.uint8)
-    kept = spark.sparkContext.broadcast(bits)
-
-    def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frugal()
-        held = kept.value
-        for part in batches:
-            sig, of = pc.list_flatten(part.column(0)), pc.list_parent_indices(part.column(0))
-            at = sig.to_numpy(zero_copy_only=False) & ((1 << SHARED_BITS) - 1)
-            hit = pa.array((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
-            of = of.filter(hit)
-            yield pa.RecordBatch.from_arrays([sig.filter(hit), part.column(1).take(of), part.column(2).take(of)], names=["sig", a, b])
-        give_back()
-
-    bounded_batches(spark)
-    return named.mapInArrow(only, f"sig bigint, {a} bigint, {b} bigint")
+def _pairs_and_texts(pairs: DataFrame, sketches: DataFrame, sets: DataFrame, rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The ``promising`` ones of the pairs (u, v), and the (node, text) of their sets."""
+    chosen = materialize(promising(pairs, sketches, percent))
+    nodes = chosen.select(F.col("u").alias("node")).unionByName(chosen.select(F.col("v").alias("node"))).distinct()
+    return chosen, materialize(_texts(nodes.join(sets, "node"), rows, pairs.sparkSession))
 
 
 def _texts(wanted: DataFrame, rows: DataFrame, spark) -> DataFrame:

@@ -157,3 +157,57 @@ def test_texts_of_candidates_are_shuffled_once(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("Exchange hashpartitioning(") == 2, plan
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_sketches_lose_no_link(percent):
+    """Of sets of many sizes, each that is linked to another is kept; those that share a passage only go."""
+    rng = np.random.default_rng(11)
+    sets = []
+    for size in [1, 3, 40, 63, 64, 65, 130, 255, 256, 257, 520, 900, 3000]:
+        for _ in range(6):
+            a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            fresh = rng.integers(0, 1 << 63, int(rng.integers(0, size // 9 + 2)), dtype=np.uint64)
+            sets += [np.unique(a), np.unique(np.concatenate([a[int(rng.integers(0, size // 9 + 1)) :], fresh]))]
+    true = [any(i != j and 100 * (c := len(np.intersect1d(a, b))) >= percent * (len(a) + len(b) - c) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    near = J._near(np.array([len(x) for x in sets]), [np.frombuffer(J.sketch(x), "<u8") for x in sets], percent)
+    assert not (np.array(true) & ~near).any()
+    assert 0 < sum(true) < len(sets)
+    passage = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    apart = [np.unique(np.concatenate([passage, rng.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in range(130, 330)]
+    assert not J._near(np.array([len(x) for x in apart]), [np.frombuffer(J.sketch(x), "<u8") for x in apart], percent).any()
+
+
+def test_packed_signatures_come_back():
+    rng = np.random.default_rng(3)
+    values = np.unique(np.concatenate([rng.integers(0, 1 << J.SIG_BITS, 5000, dtype=np.uint64), np.array([0, (1 << J.SIG_BITS) - 1], np.uint64)]))
+    values = np.concatenate([values, values[:700]])
+    owners = np.arange(len(values)) % 65536
+    made = list(J.packed(values, owners))
+    back = [J.unpacked(*x) for x in made]
+    assert sorted(zip(*(np.concatenate(x).tolist() for x in zip(*back, strict=True)), strict=True)) == sorted(zip(values.tolist(), owners.tolist(), strict=True))
+    assert sum(len(x) for _, x in made) < 8 * len(values)
+
+
+def test_texts_that_share_a_passage_only_are_not_moved(spark, monkeypatch):
+    """Their signatures are shared, but their sketches tell that they aren't linked; near copies among them are found."""
+    r = random.Random(21)
+    words = lambda k: [f"w{r.randrange(1 << 30)}" for _ in range(k)]
+    passage = words(120)
+    texts = [words(80) + passage + words(80) for _ in range(60)]
+    texts += [t[:-1] + words(1) for t in texts[:5]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts, 1)]
+    compared, real = [], J.differences
+    monkeypatch.setattr(J, "differences", lambda pairs, *a: [compared.append(pairs.count()), real(pairs, *a)][1])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {x.doc_id for x in J.distinct_documents(docs, n=5, percent=80).collect()}
+    assert kept == set(range(1, 61)) and sum(compared) <= 20, compared
+
+
+def test_row_without_an_id_hides_no_link(spark):
+    """It may be the first row of its text in a task, and gives no signatures itself."""
+    text = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(text)), (2, " ".join(text)), (1, " ".join([*text, "more"]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    found = {r.doc_id: r.component_id for r in J.similarity_components(docs).collect()}
+    assert found == {None: None, 1: 1, 2: 1}
