@@ -204,6 +204,24 @@ def test_texts_that_share_a_passage_only_are_not_moved(spark, monkeypatch):
     assert kept == set(range(1, 61)) and sum(compared) <= 20, compared
 
 
+def test_bytes_of_signatures_on_disk(spark, monkeypatch):
+    """A signature takes a few bytes in a table, and none is left when the components are known."""
+    from pathlib import Path
+
+    from strandlake.sources.folders import shared_folder
+
+    r = random.Random(9)
+    rows = [(i, " ".join(f"w{r.randrange(1 << 40)}" for _ in range(400))) for i in range(400)]
+    n = sum(len(J.signatures(J.Shingler(4)(t.encode()), 85)) for _, t in rows)
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    on_disk = lambda: sum(p.stat().st_size for p in folder.rglob("*.parquet"))
+    floor, seen, real = on_disk(), [], J.materialize
+    monkeypatch.setattr(J, "materialize", lambda *a: [real(*a), seen.append(on_disk() - floor)][0])
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert J.similarity_components(docs, n=4, percent=85).where("component_id = doc_id").count() == 400
+    assert max(seen) < 8 * n and on_disk() - floor < n, (n, seen)
+
+
 def test_row_without_an_id_hides_no_link(spark):
     """It may be the first row of its text in a task, and gives no signatures itself."""
     text = [f"w{i}" for i in range(60)]
