@@ -222,6 +222,17 @@ def test_bytes_of_signatures_on_disk(spark, monkeypatch):
     assert max(seen) < 8 * n and on_disk() - floor < n, (n, seen)
 
 
+@pytest.mark.parametrize(("held", "sketched"), [(700, 2), (1 << 20, 0)])
+def test_components_whatever_the_bounds(spark, monkeypatch, held, sketched):
+    """Signatures given out many times by a task, and hubs of too many members for sketches."""
+    monkeypatch.setattr(J, "SIGS_HELD", held)
+    monkeypatch.setattr(J, "SKETCHED", sketched)
+    rows = corpus(4)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in J.similarity_components(docs, n=4, percent=85).collect()}
+    assert found == brute(rows, 4, 85)
+
+
 def test_row_without_an_id_hides_no_link(spark):
     """It may be the first row of its text in a task, and gives no signatures itself."""
     text = [f"w{i}" for i in range(60)]
