@@ -288,3 +288,36 @@ def test_codes_are_a_distribution():
     assert abs(sum(spaces) - 1) < 1e-12
     paths = {tuple(zip(code.node[code.start[k] : code.start[k + 1]].tolist(), code.bit[code.start[k] : code.start[k + 1]].tolist(), strict=True)) for k in range(6)}
     assert len(paths) == 6
+
+
+def test_near_nodes_of_a_code_have_neighbouring_slots():
+    """A token's bits meet few places of memory, and no two nodes that share one for a context share a slot."""
+    code = lm.Code(np.random.default_rng(3).integers(1, 10_000, 3_000))
+    near = 1 << lm.NEAR_BITS
+    assert len(set(code.hash.tolist())) == len(code.hash)
+    contexts = lm.word_contexts(np.random.default_rng(4).integers(0, 3_000, 50))[1]
+    for context in contexts[:, None]:
+        slots = lm.slots_of(np.repeat(context, len(code.hash)), code.hash, 20).astype(int)
+        assert slots.max() < 1 << 20
+        groups = {}
+        for k, slot in enumerate(slots.tolist()):
+            groups.setdefault(int(code.hash[k]) // near, []).append(slot)
+        assert all(len({s // near for s in g}) == 1 and len(set(g)) == len(g) for g in groups.values())
+    paths = [slots[code.node[code.start[k] : code.start[k + 1]]] for k in range(3_000)]
+    assert all(len(set((p // near).tolist())) <= -(-len(p) // lm.NEAR_BITS) for p in paths)
+
+
+@pytest.mark.parametrize("scale", [1, 1 << 30])
+def test_tokens_are_met_once_per_pair_of_words_before(monkeypatch, scale):
+    """Each with how often it comes there; also where ids are too large for three to fit a number."""
+    monkeypatch.setattr(lm, "COUNTED_AT_ONCE", 7)
+    ids = np.random.default_rng(5).choice([0, 1, 2, 3, 4], 500) * scale
+    ids[-1] = 0
+    want, found = Counter(zip(ids.tolist(), *(c.tolist() for c in lm.word_contexts(ids)), strict=True)), Counter()
+    for some, times, contexts in lm.distinct_tokens(ids):
+        assert len(some) == len(times) == len(contexts[0]) == len(contexts[1]) <= 7
+        for *key, n in zip(some.tolist(), *(c.tolist() for c in contexts), times.tolist(), strict=True):
+            assert scale > 1 or tuple(key) not in found
+            found[tuple(key)] += n
+    assert found == want
+    assert [*lm.distinct_tokens(ids[:0])] == []
